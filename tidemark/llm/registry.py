@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+from .decontamination import OP9_SQL, op9_decontamination
 from .mixing import OP6_SQL, op6_mixing
+from .quality import op10_quality
 from .sharding import op5_sharding
+from .simhash import op7_simhash
 
-QUERIES = {"op5_sharding": op5_sharding, "op6_mixing": op6_mixing}
-ORACLES = {"op6_mixing": OP6_SQL}
+QUERIES = {
+    "op5_sharding": op5_sharding,
+    "op6_mixing": op6_mixing,
+    "op7_simhash": op7_simhash,
+    "op9_decontamination": op9_decontamination,
+    "op10_quality": op10_quality,
+}
+ORACLES = {"op6_mixing": OP6_SQL, "op9_decontamination": OP9_SQL}
