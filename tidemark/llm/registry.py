@@ -7,8 +7,10 @@ from .mixing import OP6_SQL, op6_mixing
 from .quality import op10_quality
 from .sharding import op5_sharding
 from .simhash import op7_simhash
+from .toxicity import op2_toxicity
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op5_sharding": op5_sharding,
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
