@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import OP9_SQL, op9_decontamination
+from .html_text import op8_html_extraction
 from .mixing import OP6_SQL, op6_mixing
 from .quality import op10_quality
 from .sharding import op5_sharding
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
+    "op8_html_extraction": op8_html_extraction,
     "op9_decontamination": op9_decontamination,
     "op10_quality": op10_quality,
 }
