@@ -8,9 +8,11 @@ from .mixing import OP6_SQL, op6_mixing
 from .quality import op10_quality
 from .sharding import op5_sharding
 from .simhash import op7_simhash
+from .suffix import op1_suffix_dedup
 from .toxicity import op2_toxicity
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_toxicity": op2_toxicity,
     "op5_sharding": op5_sharding,
     "op6_mixing": op6_mixing,
