@@ -6,7 +6,7 @@ place as well, in any document, this one included.
 1. Candidates.  Each window of 200 bytes has as its *mark* the least hash of its
    48-byte substrings: a function of its content, so equal windows have equal marks.
    Neighbouring windows of one mark form a *context* (the bytes of all of them, at most
-   ``RUN`` windows).  Marks that occur in one context of the corpus only can't
+   ``RUN`` windows).  Marks that occur at one place of the corpus only can't
    hold a repeat.  They are counted by a combinable aggregate, and what is left is
    told to a second scan as a bitmap of a fixed 8 MB, which only saves work: marks are
    counted exactly again afterwards.
@@ -79,15 +79,16 @@ def _minima(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(m[:n], m[w - length : w - length + n])
 
 
-def contexts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(mark, row, first window, last window) in places of ``data``, by slices of it."""
+def contexts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(mark, row, first window, last window, whether it may repeat in itself) in places of ``data``, by slices of it."""
     for a, z in slices(offsets, 2 << 20):
         lo, end = int(offsets[a]), int(offsets[z])
         at = lo
         # A row longer than a slice is read on with an overlap; runs are cut at the same places of a row by RUN.
         while end - at >= LENGTH:
             stop = min(end, at + (8 << 20)) if z - a == 1 else end
-            m = _minima(_rolling(data[at:stop], MARK), LENGTH - MARK + 1)
+            h = _rolling(data[at:stop], MARK)
+            m = _minima(h, LENGTH - MARK + 1)
             row = np.searchsorted(offsets, np.arange(at, at + len(m)), "right") - 1 if z - a > 1 else np.full(len(m), a)
             ok = np.arange(at, at + len(m)) + LENGTH <= offsets[row + 1]
             new = np.ones(len(m), bool)
@@ -99,7 +100,10 @@ def contexts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
             # A run ends before the next start, or where the row's windows end.
             last = np.append(np.flatnonzero(new), len(m))
             last = np.minimum(last[np.searchsorted(last, first, "right")] - 1 + at, offsets[row[first] + 1] - LENGTH)
-            yield m[first], row[first], first + at, last
+            # Equal windows of one context have their marks at different places, so some window but the last begins with the mark.
+            seen = np.concatenate([[0], np.cumsum(h[: len(m)] == m)])
+            inner = seen[last - at] > seen[first]
+            yield m[first], row[first], first + at, last, inner
             if stop == end:
                 break
             at = stop - LENGTH + 1
@@ -108,8 +112,8 @@ def contexts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = flat(batch.column(0))
-        for mark, *_ in contexts(data, offsets):
-            yield pa.RecordBatch.from_arrays([pa.array(mark.view(np.int64))], ["v"])
+        for mark, _, _, _, inner in contexts(data, offsets):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([mark, mark[inner]]).view(np.int64))], ["v"])
 
 
 def _kept_contexts(bitmap):
@@ -117,18 +121,18 @@ def _kept_contexts(bitmap):
         bits = bitmap.value
         for batch in batches:
             data, offsets = flat(batch.column(2))
-            for mark, row, first, last in contexts(data, offsets):
+            for mark, row, first, last, inner in contexts(data, offsets):
                 slot = mark % np.uint64(_BITMAP * 64)
                 on = (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
-                mark, row, first, last = mark[on], row[on], first[on], last[on]
+                mark, row, first, last, inner = mark[on], row[on], first[on], last[on], inner[on]
                 for lo in range(0, len(mark), 4000):
                     part = slice(lo, lo + 4000)
                     texts = [data[a : z + LENGTH].tobytes() for a, z in zip(first[part].tolist(), last[part].tolist(), strict=True)]
                     where = pa.array(row[part])
                     yield pa.RecordBatch.from_arrays([
                         pa.array(mark[part].view(np.int64)), pa.array(np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64).view(np.int64)),
-                        batch.column(0).take(where), batch.column(1).take(where), pa.array(first[part] - offsets[row[part]]), pa.array(texts, pa.binary()),
-                    ], ["v", "c", "__id", "__h", "lo", "bytes"])
+                        batch.column(0).take(where), batch.column(1).take(where), pa.array(first[part] - offsets[row[part]]), pa.array(inner[part]), pa.array(texts, pa.binary()),
+                    ], ["v", "c", "__id", "__h", "lo", "inner", "bytes"])
 
     return run
 
@@ -279,9 +283,9 @@ def repeated_spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
     table = words.toPandas()  # at most 2^20 rows, whatever the input
     bitmap = np.zeros(_BITMAP, np.uint64)
     bitmap[table["w"].to_numpy(np.int64)] = table["b"].to_numpy(np.int64).view(np.uint64)
-    found = cut(source.mapInArrow(_kept_contexts(spark.sparkContext.broadcast(bitmap)), "v long, c long, __id string, __h long, lo long, bytes binary"), "contexts")
-    distinct = cut(found.groupBy("v", "c").agg(F.count(F.lit(1)).alias("n"), F.any_value("bytes").alias("bytes")), "distinct")
-    marked = distinct.groupBy("v").agg(F.count(F.lit(1)).alias("nd"), F.sum((F.col("n") == 1).cast("long")).alias("once")).where("nd > 1 AND once > 0")
+    found = cut(source.mapInArrow(_kept_contexts(spark.sparkContext.broadcast(bitmap)), "v long, c long, __id string, __h long, lo long, inner boolean, bytes binary"), "contexts")
+    distinct = cut(found.groupBy("v", "c").agg(F.count(F.lit(1)).alias("n"), F.max("inner").alias("inner"), F.any_value("bytes").alias("bytes")), "distinct")
+    marked = distinct.groupBy("v").agg(F.count(F.lit(1)).alias("nd"), F.sum((F.col("n") == 1).cast("long")).alias("once"), F.max("inner").alias("inner")).where("once > 0 AND (nd > 1 OR inner)")
     work = cut(distinct.join(marked.select("v", "nd"), "v").select("v", "c", "n", "nd", "bytes"), "work")
     small = work.where(F.col("nd") <= group).select("v", "c", (F.col("n") == 1).alias("once"), "bytes").repartition("v").sortWithinPartitions("v", "c")
     part = small.mapInArrow(_search, "v long, c long, a long, z long")
