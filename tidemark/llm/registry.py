@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chunking import op3_substring_dedup
 from .decontamination import OP9_SQL, op9_decontamination
 from .html_text import op8_html_extraction
 from .mixing import OP6_SQL, op6_mixing
@@ -14,6 +15,7 @@ from .toxicity import op2_toxicity
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_toxicity": op2_toxicity,
+    "op3_substring_dedup": op3_substring_dedup,
     "op5_sharding": op5_sharding,
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
