@@ -180,14 +180,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def _kernel(words: list[str], marks: list[str]) -> np.ndarray:
-    dense = np.zeros((len(marks), 1 << _BITS), np.float32)
-    for at, code, weights in features(marks):
-        for i, row in zip(at, code, strict=True):
-            np.add.at(dense[i], row, weights)
-    used = np.flatnonzero(dense.any(axis=0))
-    small = np.zeros((1 << _BITS), np.int32)
+    """K(word, mark), over the subsequences that marks have."""
+    rows = [(i, row, weights) for at, code, weights in features(marks) for i, row in zip(at.tolist(), code, strict=True)]
+    used = np.unique(np.concatenate([r[1] for r in rows])) if rows else np.zeros(0, np.uint32)
+    dense = np.zeros((len(used) + 1, len(marks)), np.float32)
+    for i, row, weights in rows:
+        np.add.at(dense[:, i], np.searchsorted(used, row) + 1, weights)
+    small = np.zeros(1 << _BITS, np.int32)
     small[used] = np.arange(1, len(used) + 1)
-    dense = np.concatenate([np.zeros((1, len(marks)), np.float32), dense[:, used].T])
     out = np.zeros((len(words), len(marks)), np.float32)
     for at, code, weights in features(words):
         for lo in range(0, len(at), 400):
@@ -206,29 +206,31 @@ def train(texts: list[str], toxic: list[int], base: float | None = None) -> Mode
     base = base if base is not None else float(y.mean()) if len(y) else 0.0
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(1 << _BITS, np.float32), 0.0, None, base)
-    one: dict[str, str] = {}  # each word is held once
-    docs = [[{one.setdefault(w, w) for w in map(clean, tokens_of(s)) if w} for s in re.split(r"[.!?\n]+(?=\s|$)", t or "")] for t in texts]
-    words_of = [set().union(*s) for s in docs]
+    # Words are numbers from here on: documents are arrays of arrays of them.
+    number: dict[str, int] = {}
+    docs = [[np.array([number.setdefault(w, len(number)) for w in map(clean, tokens_of(s)) if w], np.int32) for s in re.split(r"[.!?\n]+(?=\s|$)", t or "")] for t in texts]
+    words_of = [np.unique(np.concatenate([np.zeros(0, np.int32), *s])) for s in docs]
+    vocabulary = list(number)
     n_pos, n_neg = int(y.sum()), int(len(y) - y.sum())
-    # Documents of each label that hold an n-gram of a word.
+    # Documents of each label that hold a word, and n-grams of words that toxic documents hold.
+    in_pos, in_neg = (np.bincount(np.concatenate([np.zeros(0, np.int32), *(w for t, w in zip(y, words_of, strict=True) if t == k)]), minlength=len(number)) for k in (1, 0))
     pos: dict[str, int] = {}
-    neg: dict[str, int] = {}
-    word_pos: dict[str, int] = {}
-    word_neg: dict[str, int] = {}
-    for t, ws in zip(y, words_of, strict=True):
-        count, words = (pos, word_pos) if t else (neg, word_neg)
-        seen: set[str] = set()
-        for w in ws:
-            words[w] = words.get(w, 0) + 1
-            seen |= _grams(w)
-        for g in seen:
-            count[g] = count.get(g, 0) + 1
-    odds = {g: np.log((p + 0.5) / (n_pos + 1)) - np.log((neg.get(g, 0) + 0.5) / (n_neg + 1)) for g, p in pos.items() if p >= max(3, n_pos // 300)}
+    for i in np.flatnonzero(y):
+        for g in set().union(*(_grams(vocabulary[w]) for w in words_of[i].tolist())):
+            pos[g] = pos.get(g, 0) + 1
+    pos = {g: p for g, p in pos.items() if p >= max(3, n_pos // 300)}
+    neg = dict.fromkeys(pos, 0)
+    for i in np.flatnonzero(y == 0):
+        for g in set().union(*(_grams(vocabulary[w]) for w in words_of[i].tolist())) & neg.keys():
+            neg[g] += 1
+    odds = {g: np.log((p + 0.5) / (n_pos + 1)) - np.log((neg[g] + 0.5) / (n_neg + 1)) for g, p in pos.items()}
     strong = {g for g, o in odds.items() if o > 1.8}
+    del pos, neg
     hold: dict[str, set[int]] = {g: set() for g in strong}
     carrier: dict[str, dict[str, int]] = {g: {} for g in strong}
-    for i in np.flatnonzero(y):
-        for w in words_of[i]:
+    for i in np.flatnonzero(y).tolist():
+        for k in words_of[i].tolist():
+            w = vocabulary[k]
             for g in _grams(w) & strong:
                 hold[g].add(i)
                 carrier[g][w] = carrier[g].get(w, 0) + 1
@@ -250,13 +252,14 @@ def train(texts: list[str], toxic: list[int], base: float | None = None) -> Mode
                 marks.append(w)
         open_ -= hold[g]
     if not marks:
-        marks = sorted(word_pos, key=lambda w: (-word_pos[w], w))[:8]
-    vocabulary = sorted(word_pos.keys() | word_neg.keys())
-    place = {w: i for i, w in enumerate(vocabulary)}
+        marks = [vocabulary[i] for i in sorted(np.flatnonzero(in_pos).tolist(), key=lambda i: (-in_pos[i], vocabulary[i]))[:8]]
+    del carrier
     near = np.concatenate([_kernel(vocabulary[i : i + 20_000], marks).max(axis=1) for i in range(0, len(vocabulary), 20_000)])
-    in_clean = sorted(word_neg, key=lambda w: (-near[place[w]] * min(3, word_neg[w]), w))[: LANDMARKS // 2]
-    usual = sorted(word_neg, key=lambda w: (-word_neg[w], w))[: LANDMARKS // 2]
-    marks = list(dict.fromkeys([*marks, *in_clean, *usual]))
+    # Of clean documents, the words most like a landmark, and the most frequent.
+    for rank in (near * np.minimum(3, in_neg), in_neg):
+        best = sorted(np.argpartition(-rank, min(len(rank) - 1, LANDMARKS))[:LANDMARKS].tolist(), key=lambda i: (-rank[i], vocabulary[i]))
+        marks += [vocabulary[i] for i in best[: LANDMARKS // 2] if in_neg[i]]
+    marks = list(dict.fromkeys(marks))
     kmm = _kernel(marks, marks).astype(float)
     values, vectors = np.linalg.eigh((kmm + kmm.T) / 2)
     root = (vectors / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
@@ -278,7 +281,7 @@ def train(texts: list[str], toxic: list[int], base: float | None = None) -> Mode
         up: dict[int, int] = {}
         down: dict[int, int] = {}
         for t, sentences in zip(y, docs, strict=True):
-            best = [b for s in sentences if (b := max(((margin[place[v]], place[v]) for v in s), default=None))]
+            best = [(margin[s[k := int(np.argmax(margin[s]))]], int(s[k])) for s in sentences if len(s)]
             if t and best:
                 best = [b for b in best if b[0] > 0] or ([max(best)] if model is None else [])
             for _, i in best:
@@ -296,8 +299,7 @@ def train(texts: list[str], toxic: list[int], base: float | None = None) -> Mode
         margin = model.margins(vocabulary)
     if model is None:
         return Model(np.zeros(1 << _BITS, np.float32), 0.0, None, base)
-    got = dict(zip(vocabulary, margin.tolist(), strict=True))
-    x = np.array([document_features([got[v] for v in ws]) for ws in words_of])
+    x = np.array([document_features(margin[ws].tolist()) for ws in words_of])
     model.base, weights = base, np.where(y == 1, base / y.mean(), (1 - base) / (1 - y.mean()))
     model.logistic = _logistic(x, y.astype(float), weights)
     return model
