@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chunking import op3_substring_dedup
 from .decontamination import OP9_SQL, op9_decontamination
 from .html_text import op8_html_extraction
+from .lines import op4_line_dedup
 from .mixing import OP6_SQL, op6_mixing
 from .quality import op10_quality
 from .sharding import op5_sharding
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_line_dedup": op4_line_dedup,
     "op5_sharding": op5_sharding,
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
