@@ -21,7 +21,8 @@ place as well, in any document, this one included.
    more rows is an interval of repeated 200-byte strings.  Suffixes of different shards
    are never compared.
 4. A mark with over ``GROUP`` different contexts would be too much for a task; its
-   windows are counted by 128-bit digests in a combinable aggregate instead, exactly.
+   contexts are searched in parts, and the different windows of the parts are counted by
+   128-bit digests in a combinable aggregate, which finds what only other parts repeat.
 5. Intervals are gathered by document and cut from the text.
 
 Edge cases: null and empty texts, and those of under 200 bytes, lose nothing; rows that
@@ -81,12 +82,12 @@ def _minima(h: np.ndarray, w: int) -> np.ndarray:
 
 def contexts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """(mark, row, first window, last window, whether it may repeat in itself) in places of ``data``, by slices of it."""
-    for a, z in slices(offsets, 2 << 20):
+    for a, z in slices(offsets, 1 << 20):
         lo, end = int(offsets[a]), int(offsets[z])
         at = lo
         # A row longer than a slice is read on with an overlap; runs are cut at the same places of a row by RUN.
         while end - at >= LENGTH:
-            stop = min(end, at + (8 << 20)) if z - a == 1 else end
+            stop = min(end, at + (2 << 20)) if z - a == 1 else end
             h = _rolling(data[at:stop], MARK)
             m = _minima(h, LENGTH - MARK + 1)
             row = np.searchsorted(offsets, np.arange(at, at + len(m)), "right") - 1 if z - a > 1 else np.full(len(m), a)
@@ -223,32 +224,45 @@ def _runs(flags: np.ndarray) -> np.ndarray:
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (v, c, once, bytes) in order of v, no v in two tasks: searches blocks of whole groups."""
-    held: list[tuple[int, int, bool, bytes]] = []
-    size = 0
+    """Rows (v, c, once, part, bytes) in order of (v, part), no such pair in two tasks: searches blocks of whole groups.
 
-    def flush() -> pa.RecordBatch:
-        found = repeated_windows([r[3] for r in held])
-        rows = [(v, c, x[0], x[1]) for (v, c, once, _), f in zip(held, found, strict=True) if once for x in _runs(f).tolist()]
+    Emits (v, c, a, z), runs of repeated windows of contexts that occur once.  Where a mark's
+    contexts are spread over several parts (part >= 0), also the digest of each different
+    window of the part as (v, c, a, a, d, own); ``own`` are those of contexts that occur once
+    which nothing in the part repeats, and that the other parts may.
+    """
+    held: list[tuple[int, int, bool, int, bytes]] = []
+    size = 0
+    names, kinds = ["v", "c", "a", "z", "d", "own"], [pa.int64()] * 4 + [pa.binary(), pa.bool_()]
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        found = repeated_windows([r[4] for r in held])
+        rows: list[tuple] = [(r[0], r[1], x[0], x[1], None, False) for r, f in zip(held, found, strict=True) if r[2] for x in _runs(f).tolist()]
+        seen: set[bytes] = set()
+        for (v, c, once, part, text), f in zip(held, found, strict=True):
+            for i, twice in enumerate(f.tolist()) if part >= 0 else ():
+                d = xxhash.xxh3_128_digest(text[i : i + LENGTH])
+                if d not in seen:
+                    seen.add(d)
+                    rows.append((v, c, i, i, d, once and not twice))
+                if len(rows) >= 20_000:
+                    yield batch_of(rows)
+                    rows = []
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["v", "c", "a", "z"])
+        yield batch_of(rows)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(6)], names)
 
     for batch in batches:
-        for v, c, once, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if size > 48_000 and held[-1][0] != v:
-                yield flush()
+        for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if held and (held[-1][0], held[-1][3]) != (row[0], row[3]) and (size > 48_000 or row[3] >= 0 or held[-1][3] >= 0):
+                yield from flush()
                 size = 0
-            held.append((v, c, once, text))
-            size += len(text) + _STEP
+            held.append(row)
+            size += len(row[4]) + _STEP
     if held:
-        yield flush()
-
-
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for v, c, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            n = len(text) - LENGTH + 1
-            yield pa.RecordBatch.from_arrays([pa.array([v] * n, pa.int64()), pa.array([c] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([xxhash.xxh3_128_digest(text[i : i + LENGTH]) for i in range(n)], pa.binary())], ["v", "c", "a", "d"])
+        yield from flush()
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,14 +301,15 @@ def repeated_spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
     distinct = cut(found.groupBy("v", "c").agg(F.count(F.lit(1)).alias("n"), F.max("inner").alias("inner"), F.any_value("bytes").alias("bytes")), "distinct")
     marked = distinct.groupBy("v").agg(F.count(F.lit(1)).alias("nd"), F.sum((F.col("n") == 1).cast("long")).alias("once"), F.max("inner").alias("inner")).where("once > 0 AND (nd > 1 OR inner)")
     work = cut(distinct.join(marked.select("v", "nd"), "v").select("v", "c", "n", "nd", "bytes"), "work")
-    small = work.where(F.col("nd") <= group).select("v", "c", (F.col("n") == 1).alias("once"), "bytes").repartition("v").sortWithinPartitions("v", "c")
-    part = small.mapInArrow(_search, "v long, c long, a long, z long")
-    large = work.where(F.col("nd") > group)
-    windows = large.select("v", "c", "bytes").mapInArrow(_digests, "v long, c long, a long, d binary")
-    twice = windows.groupBy("d").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("d")
-    part = part.unionAll(windows.join(twice, "d").select("v", "c", "a", F.col("a").alias("z")))
+    # A mark with very many contexts is spread over parts of about `group` of them.
+    spread = F.when(F.col("nd") > group, F.pmod(F.xxhash64("c"), F.ceil(F.col("nd") / group))).otherwise(F.lit(-1)).cast("int")
+    parts = work.select("v", "c", (F.col("n") == 1).alias("once"), spread.alias("part"), "bytes").repartition("v", "part").sortWithinPartitions("v", "part", "c")
+    searched = cut(parts.mapInArrow(_search, "v long, c long, a long, z long, d binary, own boolean"), "searched")
+    digests = searched.where("d IS NOT NULL")
+    twice = digests.groupBy("d").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("d")
+    across = digests.where("own").join(twice, "d").select("v", "c", "a", "z")
     whole = distinct.where("n > 1").select("v", "c", F.lit(0).cast("long").alias("a"), (F.length("bytes") - LENGTH).cast("long").alias("z"))
-    hits = cut(whole.unionAll(part.join(distinct.where("n = 1").select("v", "c"), ["v", "c"], "left_semi")), "hits")
+    hits = cut(whole.unionAll(searched.where("d IS NULL").select("v", "c", "a", "z")).unionAll(across), "hits")
     spans = found.select("v", "c", "__id", "__h", "lo").join(hits, ["v", "c"])
     return spans.groupBy("__id", "__h").agg(F.collect_set(F.struct((F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("z") + LENGTH).alias("hi"))).alias("runs"))
 
