@@ -45,7 +45,7 @@ def _remove(sc, path: str) -> None:
         pass
 
 
-def cut(df: DataFrame, name: str = "part") -> DataFrame:
+def cut(df: DataFrame, name: str = "part", codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     It ends the lineage: a lost executor costs at most the tasks it was running,
@@ -53,7 +53,7 @@ def cut(df: DataFrame, name: str = "part") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").option("compression", "snappy").parquet(path)
+    df.write.mode("overwrite").option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -20,9 +20,14 @@ place as well, in any document, this one included.
    of that length (Holt and McMillan, 2014).  After 25 rounds a block of two or
    more rows is an interval of repeated 200-byte strings.  Suffixes of different shards
    are never compared.
-4. A mark with over ``GROUP`` different contexts would be too much for a task; its
-   contexts are searched in parts, and the different windows of the parts are counted by
-   128-bit digests in a combinable aggregate, which finds what only other parts repeat.
+4. A mark with over ``GROUP`` different contexts would be too much for a task.  Its
+   contexts are cut where the place of the mark in a window passes a multiple of
+   ``PLACES`` bytes: all windows of such a finer context share ``CORE`` bytes around the
+   mark, whose hash takes the mark's part.  A window with an edit in its core is
+   alone there and goes; equal finer contexts are collapsed like whole ones.  Where
+   over ``GROUP`` different ones are left, they are searched in parts, and the different
+   windows of the parts are counted by 128-bit digests in a combinable aggregate, which
+   finds what only other parts repeat.
 5. Intervals are gathered by document and cut from the text.
 
 Edge cases: null and empty texts, and those of under 200 bytes, lose nothing; rows that
@@ -47,6 +52,8 @@ from .flat import flat, slices
 
 LENGTH, MARK, RUN = 200, 48, 256
 GROUP = 1500
+PLACES = 19
+CORE = MARK + PLACES * ((LENGTH - MARK) // PLACES - 1)
 _BITMAP = 1 << 20  # words of 64 bits
 _STEP = 8
 
@@ -138,6 +145,37 @@ def _kept_contexts(bitmap):
     return run
 
 
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(v, c, n, bytes) cut into windows of one core: (v, c, n, v2, c2, at, bytes), ``at`` places into the context.
+
+    A window's core is fixed by its own bytes: it begins a multiple of ``PLACES`` before the
+    first mark in the window.  The places of marks in windows of one core all differ, so
+    that a finer context can't repeat in itself.
+    """
+    names, kinds = ["v", "c", "n", "v2", "c2", "at", "bytes"], [*[pa.int64()] * 3, pa.uint64(), pa.uint64(), pa.int64(), pa.binary()]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        made = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([x.view(pa.int64()) if pa.types.is_uint64(x.type) else x for x in made], names)
+
+    for batch in batches:
+        rows: list[tuple] = []
+        for v, c, n, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            data = np.frombuffer(text, np.uint8)
+            marks = np.flatnonzero(_rolling(data, MARK).view(np.int64) == v)
+            window = np.arange(len(data) - LENGTH + 1)
+            mark = marks[np.searchsorted(marks, window)]
+            step = np.minimum((mark - window) // PLACES, (LENGTH - MARK) // PLACES - 1)
+            first = np.flatnonzero(np.append(True, (mark[1:] != mark[:-1]) | (step[1:] != step[:-1])))
+            for a, z in zip(first.tolist(), [*(first[1:] - 1).tolist(), len(window) - 1], strict=True):
+                core, own = int(mark[a] - PLACES * step[a]), text[a : z + LENGTH]
+                rows.append((v, c, n, xxhash.xxh3_64_intdigest(text[core : core + CORE], int(step[a])), xxhash.xxh3_64_intdigest(own), a, own))
+            if len(rows) > 5000:
+                yield batch_of(rows)
+                rows = []
+        yield batch_of(rows)
+
+
 class Shard:
     """Suffix order (by 256 bytes, cyclic) and Burrows-Wheeler transform of one text."""
 
@@ -297,19 +335,27 @@ def repeated_spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
     table = words.toPandas()  # at most 2^20 rows, whatever the input
     bitmap = np.zeros(_BITMAP, np.uint64)
     bitmap[table["w"].to_numpy(np.int64)] = table["b"].to_numpy(np.int64).view(np.uint64)
-    found = cut(source.mapInArrow(_kept_contexts(spark.sparkContext.broadcast(bitmap)), "v long, c long, __id string, __h long, lo long, inner boolean, bytes binary"), "contexts")
-    distinct = cut(found.groupBy("v", "c").agg(F.count(F.lit(1)).alias("n"), F.max("inner").alias("inner"), F.any_value("bytes").alias("bytes")), "distinct")
+    found = cut(source.mapInArrow(_kept_contexts(spark.sparkContext.broadcast(bitmap)), "v long, c long, __id string, __h long, lo long, inner boolean, bytes binary"), "contexts", "zstd")
+    distinct = cut(found.groupBy("v", "c").agg(F.count(F.lit(1)).alias("n"), F.max("inner").alias("inner"), F.any_value("bytes").alias("bytes")), "distinct", "zstd")
     marked = distinct.groupBy("v").agg(F.count(F.lit(1)).alias("nd"), F.sum((F.col("n") == 1).cast("long")).alias("once"), F.max("inner").alias("inner")).where("once > 0 AND (nd > 1 OR inner)")
-    work = cut(distinct.join(marked.select("v", "nd"), "v").select("v", "c", "n", "nd", "bytes"), "work")
-    # A mark with very many contexts is spread over parts of about `group` of them.
-    spread = F.when(F.col("nd") > group, F.pmod(F.xxhash64("c"), F.ceil(F.col("nd") / group))).otherwise(F.lit(-1)).cast("int")
-    parts = work.select("v", "c", (F.col("n") == 1).alias("once"), spread.alias("part"), "bytes").repartition("v", "part").sortWithinPartitions("v", "part", "c")
+    work = cut(distinct.join(marked.select("v", "nd"), "v").select("v", "c", "n", "nd", "bytes"), "work", "zstd")
+    few = work.where(F.col("nd") <= group).select("v", "c", (F.col("n") == 1).alias("once"), F.lit(-1).alias("part"), "bytes")
+    # A mark with very many contexts: by core, and where that is crowded too, in parts of about `group`.
+    finer = cut(work.where(F.col("nd") > group).select("v", "c", "n", "bytes").mapInArrow(_finer, "v long, c long, n long, v2 long, c2 long, at long, bytes binary"), "finer", "zstd")
+    cores = cut(finer.groupBy("v2", "c2").agg(F.sum("n").alias("n"), F.any_value("bytes").alias("bytes")), "cores", "zstd")
+    shared = cores.groupBy("v2").agg(F.count(F.lit(1)).alias("nd"), F.sum((F.col("n") == 1).cast("long")).alias("once")).where("once > 0 AND nd > 1")
+    spread = F.when(F.col("nd") > group, F.pmod(F.xxhash64("c2"), F.ceil(F.col("nd") / group))).otherwise(F.lit(-1)).cast("int")
+    many = cores.join(shared.select("v2", "nd"), "v2").select("v2", "c2", F.col("n") == 1, spread, "bytes")
+    parts = few.unionAll(many).repartition("v", "part").sortWithinPartitions("v", "part", "c")
     searched = cut(parts.mapInArrow(_search, "v long, c long, a long, z long, d binary, own boolean"), "searched")
     digests = searched.where("d IS NOT NULL")
     twice = digests.groupBy("d").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("d")
     across = digests.where("own").join(twice, "d").select("v", "c", "a", "z")
-    whole = distinct.where("n > 1").select("v", "c", F.lit(0).cast("long").alias("a"), (F.length("bytes") - LENGTH).cast("long").alias("z"))
-    hits = cut(whole.unionAll(searched.where("d IS NULL").select("v", "c", "a", "z")).unionAll(across), "hits")
+    whole = lambda df, v, c: df.where("n > 1").select(F.col(v).alias("v"), F.col(c).alias("c"), F.lit(0).cast("long").alias("a"), (F.length("bytes") - LENGTH).cast("long").alias("z"))
+    inside = searched.where("d IS NULL").select("v", "c", "a", "z").unionAll(across)
+    of_cores = inside.unionAll(whole(cores, "v2", "c2")).withColumnsRenamed({"v": "v2", "c": "c2"})
+    lifted = finer.where("n = 1").select("v", "c", "v2", "c2", "at").join(of_cores, ["v2", "c2"]).select("v", "c", F.col("at") + F.col("a"), F.col("at") + F.col("z"))
+    hits = cut(whole(distinct, "v", "c").unionAll(inside).unionAll(lifted), "hits")
     spans = found.select("v", "c", "__id", "__h", "lo").join(hits, ["v", "c"])
     return spans.groupBy("__id", "__h").agg(F.collect_set(F.struct((F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("z") + LENGTH).alias("hi"))).alias("runs"))
 
