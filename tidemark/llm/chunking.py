@@ -158,7 +158,8 @@ def remove_chunks(docs: DataFrame, run: int = RUN) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     chunks = cut(source.mapInArrow(_chunks(bits), f"doc_id {kind}, __id string, __h long, lo long, hi long, d binary"), "chunks")
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("__h"), F.col("lo"))
-    first = chunks.groupBy("d").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("d", "first")
+    # Written, so that the join reads two plain shuffles and a frequent chunk's rows can be split.
+    first = cut(chunks.groupBy("d").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("d", "first"), "first")
     later = chunks.join(first, "d").where(place != F.col("first"))
     spans = later.groupBy("__id", "__h").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
     joined = source.join(spans, ["__id", "__h"], "left").select("doc_id", "__t", "runs")
