@@ -54,6 +54,8 @@ def cut(df: DataFrame, name: str = "part", codec: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").option("compression", codec).parquet(path)
+    # Spark removes shuffle files once the driver's collector finds their plans unreachable; without this that may be after the job.
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
