@@ -321,7 +321,7 @@ def test_op8_frame(spark):
 @pytest.mark.parametrize("most", [250_000, 3])
 def test_op9(spark, docs, empty, most):
     rows = corpus()
-    items = [("b", rows[40][1].split(" ", 12)[-1][:300]), ("a", rows[0][1]), ("c", "alone HERE"), ("d", None), ("e", "..."), (None, "one"), ("b", "one"), ("f", " ".join(rows[83][1].split()[500:514]))]
+    items = [("b", rows[40][1].split(" ", 12)[-1][:300]), ("a", rows[0][1]), ("c", "alone HERE"), ("d", None), ("e", "..."), (None, "one"), ("b", "one"), ("f", " ".join(rows[63][1].split()[500:514]))]
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     words = lambda t: word.findall((t or "").encode().translate(LOW).decode())
     windows = {}
