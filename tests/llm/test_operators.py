@@ -147,6 +147,21 @@ def test_op3(docs, empty):
     assert chunking.remove_chunks(empty).count() == 0
 
 
+def test_op3_removes_short_repeats(spark):
+    r = random.Random(5)
+    text = lambda n: " ".join("".join(r.choices("abcdefghij", k=r.randint(2, 8))) for _ in range(n))
+    short = ["ok.", "Thanks, that works.", text(9)]
+    rows = [(i, x) for i, x in enumerate(short * 3)]
+    # Passages of 51 words, each in two foreign surroundings: no equal chunk is left in the later one.
+    rows += [(100 + i, f"{text(30)} {p} {text(30)}") for i, p in enumerate([text(51) for _ in range(300)] * 2)]
+    got = {x["doc_id"]: x for x in chunking.remove_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["n_removed"] for i in range(9)] == [0, 0, 0] + [len(x) for x in short] * 2
+    assert {got[i]["kept_sha256"] for i in range(3, 9)} == {hashlib.sha256(b"").hexdigest()}
+    later = [got[400 + i] for i in range(300)]
+    assert all((x["n_removed"] > 0) == (x["n_later_chunks"] > 0) for x in later)
+    assert any(0 < x["n_removed"] < 96 for x in later) and sum(x["n_removed"] > 0 for x in later) >= 285
+
+
 def test_op3_cuts_resist_shifts():
     b = random.Random(3).randbytes(4000)
 

@@ -4,8 +4,9 @@ A text is cut where the gear hash of its last 32 bytes has ``MASK_BITS`` zero bi
 top, at least ``LEAST`` and at most ``MOST`` bytes after the cut before: cuts depend on
 content, so an insertion moves cuts near it only.  Chunks are compared by 128-bit
 digest.  The first occurrence in order of (doc_id with nulls last, text hash, place)
-stays; later ones are removed where neighbouring later occurrences add up to at
-least ``RUN`` bytes, so that one short common chunk is no reason to cut a text.
+stays; every later one is removed.  Only a text's last chunk can be shorter than
+``LEAST``; where that is the one later chunk at its place (a full stop that another
+text ends with too) it is no passage and stays, unless it is the whole text.
 
 Two scans: the first only counts 64-bit hashes (a combinable aggregate) and leaves a
 bitmap of a fixed 8 MB of hashes that repeat; the second emits the digests of
@@ -33,7 +34,8 @@ from pyspark.sql import functions as F
 from .common import cut, read, row_key, text_of
 from .flat import flat, slices
 
-MASK_BITS, LEAST, MOST, RUN = 5, 16, 1024, 96
+MASK_BITS, LEAST, MOST = 5, 16, 1024
+RUN = LEAST
 _WORDS = 1 << 20
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 
@@ -127,7 +129,7 @@ def _cut_out(run: int):
                         spans[-1][1] = x[1]
                     else:
                         spans.append(list(x))
-                spans = [s for s in spans if s[1] - s[0] >= run]
+                spans = [s for s in spans if s[1] - s[0] >= min(run, len(raw))]
                 digest, at = hashlib.sha256(), 0
                 for a, z in spans:
                     digest.update(raw[at:a])
@@ -145,9 +147,9 @@ def repeat_bitmap(values: DataFrame) -> np.ndarray:
     twice = values.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     slot = f"((v % {_WORDS * 64}) + {_WORDS * 64}) % {_WORDS * 64}"  # as of the unsigned number
     words = twice.select(F.shiftright(F.expr(slot), 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(({slot}) & 63 as int))").alias("b"))
-    table = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most 2^20 rows, whatever the input
+    table = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # at most 2^20 rows, whatever the input
     bits = np.zeros(_WORDS, np.uint64)
-    bits[table["w"].to_numpy(np.int64)] = table["b"].to_numpy(np.int64).view(np.uint64)
+    bits[table["w"].to_numpy()] = table["b"].to_numpy().view(np.uint64)
     return bits
 
 
