@@ -327,6 +327,22 @@ def test_op8():
     assert html_text.extract("<div>" * 3000 + "deep text, here." + "</div>" * 3000) == "deep text, here."
 
 
+def test_op8_wrappers_with_listed_names():
+    story = "".join(f"<p>Paragraph {i} of the story, with some text; it goes on, and on.</p>" for i in range(5))
+    want = html_text.extract(f"<div>{story}</div>")
+    rest = '<div class="comments"><p>A remark, short.</p></div><div class="sidebar-left"><p>Elsewhere, today.</p></div>'
+    for attribute in ('class="content has-sidebar"', "class=no-sidebar", "class=content-sidebar-wrap", "class=with-comments", "id=legal"):
+        for page in (f"<main>{story}</main>", f"<article>{story}</article>", f"<div>{story}</div>"):
+            assert html_text.extract(f"<body><div {attribute}>{page}{rest}</div></body>") == want
+            assert html_text.extract(f"<body><div {attribute}>{page}</div>{rest}</body>") == want
+    # What isn't a wrapper still goes, however long it is.
+    talk = "".join(f"<article class=comment><p>Remark {i}, longer than the story; it goes on, and on, and on.</p></article>" for i in range(20))
+    for page in (f"<article>{story}</article>", f"<div>{story}</div>"):
+        assert html_text.extract(f"<body>{page}<div class=comments>{talk}</div></body>") == want
+        assert html_text.extract(f"<body><div id=legal>{page}<div class=comments>{talk}</div></div></body>") == want
+    assert html_text.extract('<div class="menu"><a href=x>Home</a></div>') == html_text.extract(f"<nav>{story}</nav>") == ""
+
+
 def test_op8_frame(spark):
     pages = spark.createDataFrame([(1, "u", "<p>Some text, here.</p>", "x"), (2, None, None, "y")], "page_id long, url string, html string, other string")
     assert [tuple(r) for r in html_text.extract_pages(pages).collect()] == [(1, "u", "<p>Some text, here.</p>", "x", "Some text, here.", 16), (2, None, None, "y", "", 0)]

@@ -10,7 +10,9 @@ content.  A content path selects the smallest sectioning container (article, mai
 div, ...) that holds most of the fused weight, and the text blocks of that
 container's content are the result, headings and short paragraphs of it included;
 elements that are menus, headers, footers, sidebars, notices, adverts, forms or
-comments by tag, role or class name never are.
+comments by tag or role never are.  Those that are so by class name or id only are
+not either, unless they wrap the content: they hold a main, or an article or h1 with
+most of the content, or no content is left without them.
 
 Edge cases: null and empty html give an empty text; html without any tag is one block
 (plain text has the root path, which is content); cut-off tags, scripts and comments
@@ -45,17 +47,24 @@ _BAD = re.compile(
     r"share|sharing|social|cookie\w*|consent|notice\w*|popup|modal|overlay|newsletter|subscribe|signup|login|search\w*|comment\w*|disqus|respond|reply|replies|reader-\w+|toolbar|pagination|pager|skip\w*|legal|copyright|hidden)(?=$|[\s_-])",
     re.I,
 )
+#: Class names that tell of a part elsewhere, such as has-sidebar.
+_STATE = re.compile(r"(?<!\S)(?:has|no|with|without)[_-]\S*", re.I)
 CONTAINERS = frozenset("article main section div td body html blockquote".split())
 _P_CLOSERS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li dd dt tr td th thead tbody figure details center".split())
 _SIBLINGS = {"li": ("li", ("ul", "ol")), "dd": ("dd dt", ("dl",)), "dt": ("dd dt", ("dl",)), "tr": ("tr td th", ("table", "tbody", "thead")), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 THRESHOLD = 0.5
 
 
+_EXEMPT = frozenset("html body article main".split())
+
+
 class _Node:
-    __slots__ = ("bad", "link", "parent", "path", "tag")
+    __slots__ = ("bad", "link", "named", "parent", "path", "soft", "tag")
 
-    def __init__(self, tag: str, parent: _Node | None, bad: bool):
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, parent: _Node | None, bad: bool, named: bool = False):
+        self.tag, self.parent, self.named = tag, parent, named
+        #: The nearest element, itself included, whose name alone speaks against it.
+        self.soft: _Node | None = self if named and tag not in _EXEMPT else parent.soft if parent is not None else None
         self.bad = bad or (parent is not None and parent.bad)
         self.link = tag == "a" or (parent is not None and parent.link)
         above = parent.path if parent is not None else ""
@@ -65,12 +74,10 @@ class _Node:
 def _bad(tag: str, attributes: str) -> bool:
     if tag in NEVER:
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in _EXEMPT:
         return False
     for m in _ATTR.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and _BAD.search(value):
-            return True
         if name == "role" and value.lower() in NEVER_ROLE:
             return True
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
@@ -78,6 +85,11 @@ def _bad(tag: str, attributes: str) -> bool:
     return False
 
 
+def _named(attributes: str) -> bool:
+    """Whether class or id holds a listed word."""
+    return bool(attributes) and any(m[1].lower() in ("class", "id") and _BAD.search(_STATE.sub("", m[2] or m[3] or m[4] or "")) for m in _ATTR.finditer(attributes))
+
+
 def blocks(page: str) -> list[tuple[_Node, str, int]]:
     """(node of the block's container, text, characters of links) in page order; text is decoded and trimmed."""
     root = _Node("", None, False)
@@ -106,7 +118,7 @@ def blocks(page: str) -> list[tuple[_Node, str, int]]:
             return
         if not parts:
             owner = block_of(now)
-            if now.bad:
+            if now.bad or now.soft is not None:
                 owner = now
         decoded = _html.unescape(raw)
         parts.append(decoded)
@@ -175,7 +187,7 @@ def blocks(page: str) -> list[tuple[_Node, str, int]]:
                     if node.tag in same.split():
                         now = node.parent
                     node = node.parent
-        now = _Node(tag, now, _bad(tag, m[3] or ""))
+        now = _Node(tag, now, _bad(tag, m[3] or ""), _named(m[3] or ""))
     close_block()
     return out
 
@@ -215,15 +227,63 @@ def ratios(found: list[tuple[_Node, str, int]]) -> dict[str, float]:
     return dict(zip(sums, fused, strict=True))
 
 
+def _content(found: list[tuple[_Node, str, int]]) -> set[str]:
+    fused = ratios(found)
+    mean = sum(fused.values()) / len(fused)
+    spread = math.sqrt(sum((v - mean) ** 2 for v in fused.values()) / len(fused))
+    return {p for p, v in fused.items() if v > 0 and v >= min(THRESHOLD * spread + 0.2 * mean, max(fused.values()))}
+
+
+def _unwrapped(found: list[tuple[_Node, str, int]]) -> list[tuple[_Node, str, int]]:
+    """The blocks outside of elements that are bad by name, but for those that wrap the content."""
+    if all(node.soft is None for node, _, _ in found):
+        return found
+    content = _content(found)
+    weight: dict[_Node, int] = {}
+    main: set[_Node] = set()
+    article: set[_Node] = set()
+    heading: set[_Node] = set()
+    above: list[list[_Node]] = []  # of each block, innermost first
+    total = 0
+    for node, text, _ in found:
+        size = len(text) if node.path in content else 0
+        total += size
+        chain = []
+        n = node.soft
+        while n is not None:
+            chain.append(n)
+            weight[n] = weight.get(n, 0) + size
+            n = n.parent.soft
+        above.append(chain)
+        n = node
+        while chain and n is not None:
+            if n.tag == "main" or n.tag == "article" and not n.named or n.tag == "h1":
+                held = main if n.tag == "main" else article if n.tag == "article" else heading
+                inner = n.soft
+                while inner is not None:
+                    held.add(inner)
+                    inner = inner.parent.soft
+            n = n.parent
+    kept = {n for n in weight if n in main or (n in article or n in heading) and 2 * weight[n] > total}
+    while True:
+        for chain in above:
+            while chain and chain[-1] in kept:
+                chain.pop()
+        if any(not chain and node.path in content for (node, _, _), chain in zip(found, above, strict=True)):
+            break
+        more = max((c[-1] for c in above if c), key=lambda n: (n in article and weight[n] > 0, weight[n]), default=None)
+        if more is None or not weight[more]:
+            break
+        kept.add(more)
+    return [b for b, chain in zip(found, above, strict=True) if not chain]
+
+
 def extract(page: str | None) -> str:
     """The main text of one page; see the module."""
-    found = [b for b in blocks(page or "") if not b[0].bad]
+    found = _unwrapped([b for b in blocks(page or "") if not b[0].bad])
     if not found:
         return ""
-    fused = ratios(found)
-    mean = sum(fused.values()) / len(fused)
-    spread = math.sqrt(sum((v - mean) ** 2 for v in fused.values()) / len(fused))
-    content = {p for p, v in fused.items() if v > 0 and v >= min(THRESHOLD * spread + 0.2 * mean, max(fused.values()))}
+    content = _content(found)
     weight: dict[int, float] = {}
     nodes: dict[int, _Node] = {}
     total = 0.0
