@@ -343,6 +343,15 @@ def test_op8_wrappers_with_listed_names():
     assert html_text.extract('<div class="menu"><a href=x>Home</a></div>') == html_text.extract(f"<nav>{story}</nav>") == ""
 
 
+def test_op8_several_articles():
+    part = lambda k, n: "".join(f"<p>Part {k}, paragraph {i} of the story; it goes on, and on.</p>" for i in range(n))
+    for sizes in ((5, 4, 3), (6, 5), (4, 4, 4)):
+        parts = [f"<article><h2>Head {k}</h2>{part(k, n)}</article>" for k, n in enumerate(sizes)]
+        want = "\n".join(html_text.extract(x) for x in parts)
+        assert html_text.extract("<body><div><a href=x>Home</a></div>" + "".join(parts) + "</body>") == want
+        assert html_text.extract("<body>" + "".join(f"<section>{x}</section>" for x in parts) + "</body>") == want
+
+
 def test_op8_frame(spark):
     pages = spark.createDataFrame([(1, "u", "<p>Some text, here.</p>", "x"), (2, None, None, "y")], "page_id long, url string, html string, other string")
     assert [tuple(r) for r in html_text.extract_pages(pages).collect()] == [(1, "u", "<p>Some text, here.</p>", "x", "Some text, here.", 16), (2, None, None, "y", "", 0)]

@@ -8,7 +8,8 @@ appearance with a Gaussian and fused by their product, damped by the share of li
 text.  Paths whose fused ratio passes a threshold relative to the page's spread are
 content.  A content path selects the smallest sectioning container (article, main, a
 div, ...) that holds most of the fused weight, and the text blocks of that
-container's content are the result, headings and short paragraphs of it included;
+container's content are the result, headings and short paragraphs of it included.
+Where the heaviest article holds less than nearly all, the content of all is taken;
 elements that are menus, headers, footers, sidebars, notices, adverts, forms or
 comments by tag or role never are.  Those that are so by class name or id only are
 not either, unless they wrap the content: they hold a main, or an article or h1 with
@@ -278,6 +279,13 @@ def _unwrapped(found: list[tuple[_Node, str, int]]) -> list[tuple[_Node, str, in
     return [b for b, chain in zip(found, above, strict=True) if not chain]
 
 
+def _inside_article(node: _Node) -> bool:
+    n = node.parent
+    while n is not None and n.tag != "article":
+        n = n.parent
+    return n is not None
+
+
 def extract(page: str | None) -> str:
     """The main text of one page; see the module."""
     found = _unwrapped([b for b in blocks(page or "") if not b[0].bad])
@@ -302,14 +310,23 @@ def extract(page: str | None) -> str:
                 nodes[id(n)] = n
     articles = [i for i, n in nodes.items() if n.tag in ("article", "main")]
     best = max(articles, key=lambda i: weight[i], default=None)
-    if best is None or weight[best] < 0.4 * total:
+    several: set[int] = set()
+    if best is not None and weight[best] < 0.9 * total:
+        # Those not inside another; with one alone there is nothing to join.
+        several = {i for i in articles if nodes[i].tag == "article" and not _inside_article(nodes[i])}
+        if len(several) < 2 or nodes[best].tag == "main" or sum(weight[i] for i in several) < 0.4 * total:
+            several = set()
+    if not several and (best is None or weight[best] < 0.4 * total):
         deep = [i for i, n in nodes.items() if (n.tag in CONTAINERS or not n.tag) and weight[i] >= 0.7 * total]
         best = max(deep, key=lambda i: nodes[i].path.count("/"), default=None)
     chosen = nodes.get(best)
-    semantic = chosen is not None and chosen.tag in ("article", "main")
+    semantic = not several and chosen is not None and chosen.tag in ("article", "main")
     out = []
     for (node, text, linked), chain in zip(found, chains, strict=True):
-        if chosen is not None and not any(n is chosen for n in chain):
+        if several:
+            if not any(id(n) in several for n in chain):
+                continue
+        elif chosen is not None and not any(n is chosen for n in chain):
             continue
         if semantic or node.path in content or (linked < 0.5 * len(text) and node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "dd", "dt", "figcaption")):
             out.append(text)
