@@ -111,6 +111,10 @@ def test_op2():
     assert toxicity.train([], []).score(["a"]).tolist() == [0.0] and toxicity.train(["a b"], [0]).score(["a"]).tolist() == [0.0]
 
 
+def test_op2_spelled_out_words_of_repeated_letters():
+    assert "ass" in toxicity.tokens_of("you are such A s s") and "aaa" in toxicity.tokens_of("a a a") and toxicity.tokens_of("a b") == {"a", "b"}
+
+
 def test_op2_frame(spark, docs, empty):
     labels = spark.createDataFrame([(i, i % 2, int(i % 3 == 0)) for i in range(60)] + [(None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
     out = toxicity.score_toxicity(docs, toxicity.fit(docs, labels))

@@ -83,8 +83,9 @@ def clean(token: str) -> str:
 def tokens_of(text: str | None) -> set[str]:
     """The distinct lower-cased tokens of a text, spelled-out words included."""
     low = (text or "").lower()
-    found = set(low.split())
-    if sum(len(t) == 1 for t in found) >= 3:
+    tokens = low.split()
+    found = set(tokens)
+    if sum(len(t) == 1 for t in tokens) >= 3:
         found |= {_JUNK.sub("", m[0]) for m in _SINGLES.finditer(low)}
     return found
 
