@@ -111,6 +111,12 @@ def test_op2():
     assert toxicity.train([], []).score(["a"]).tolist() == [0.0] and toxicity.train(["a b"], [0]).score(["a"]).tolist() == [0.0]
 
 
+def test_op10_counts_all_trusted(spark):
+    docs = spark.range(20_500).selectExpr("id AS doc_id", "concat('w', id % 97, ' x') AS text")
+    labels = docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    assert set(quality.ngram_ratio(docs, labels)) == {0.0}  # all are trusted: both multinomials are one
+
+
 def test_op2_spelled_out_words_of_repeated_letters():
     assert "ass" in toxicity.tokens_of("you are such A s s") and "aaa" in toxicity.tokens_of("a a a") and toxicity.tokens_of("a b") == {"a", "b"}
 

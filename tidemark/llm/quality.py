@@ -1,9 +1,8 @@
 """Operator 10: quality rules by a hashed n-gram log-likelihood ratio (native).
 
 Two multinomials over ``BUCKETS`` hash buckets of word uni- and bigrams: one of the
-raw corpus (counted over all documents), one of a trusted target (documents whose
-label says quality 1; at most ``trusted`` of them, those with the least hashes of
-their ids).  With add-one smoothing, a document's verdict is its mean
+raw corpus (counted over all documents), one of a trusted target (all documents whose
+label says quality 1).  With add-one smoothing, a document's verdict is its mean
 ``ln(p_target / p_raw)`` over its n-grams against a fixed threshold: no random draw.
 
 Everything is built-in JVM expressions; the counts that reach the driver are
@@ -23,7 +22,6 @@ from pyspark.sql import functions as F
 from .common import SPACE_RE, read, text_of
 
 BUCKETS = 16384
-TRUSTED = 20_000
 THRESHOLD = -0.08
 WINDOW = 8
 _SPACES = " \t\n\x0b\x0c\r"
@@ -44,11 +42,11 @@ def word_hashes(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__w", words_of(text_of())).withColumn("__h", F.transform("__w", lambda w: F.xxhash64(w)))
 
 
-def ngram_ratio(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> list[float]:
+def ngram_ratio(docs: DataFrame, labels: DataFrame) -> list[float]:
     """ln(p_target / p_raw) for each bucket."""
     best = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    best = best.orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted)  # at most `trusted` ids are broadcast
-    marked = docs.select("doc_id", "text").join(F.broadcast(best.withColumn("__t", F.lit(1))), "doc_id", "left")
+    known = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(best.withColumn("__t", F.lit(1)), "doc_id", "left")  # shuffled where the ids are many
+    marked = known.unionByName(docs.where("doc_id IS NULL").select("doc_id", "text").withColumn("__t", F.lit(None).cast("int")))  # not all in one task
     grams = word_hashes(marked).select("__t", F.explode(_grams(F.col("__h"))).alias("g"))
     counts = grams.groupBy("g").agg(F.count(F.lit(1)).alias("raw"), F.count("__t").alias("good")).collect()
     raw, good = [0] * BUCKETS, [0] * BUCKETS
