@@ -9,7 +9,7 @@ stays; every later one is removed.  Only a text's last chunk can be shorter than
 text ends with too) it is no passage and stays, unless it is the whole text.
 
 Two scans: the first only counts 64-bit hashes (a combinable aggregate) and leaves a
-bitmap of a fixed 8 MB of hashes that repeat; the second emits the digests of
+bitmap (see ``bitmaps``) of hashes that repeat; the second emits the digests of
 chunks in it, which are counted exactly.  A chunk that a third of all documents hold
 is one partial aggregate a task; no group is ever collected but a document's own
 chunks.
@@ -31,12 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bitmaps import bitmap
 from .common import cut, read, row_key, text_of
 from .flat import flat, slices
 
 MASK_BITS, LEAST, MOST = 5, 16, 1024
 RUN = LEAST
-_WORDS = 1 << 20
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 
 
@@ -90,9 +90,9 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.array(out, np.uint64).view(np.int64))], ["v"])
 
 
-def _chunks(bitmap):
+def _chunks(bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
+        marks = bits.value
         for batch in batches:
             rows: list[tuple[int, int, int, bytes]] = []
 
@@ -104,13 +104,11 @@ def _chunks(bitmap):
                 return out
 
             for i, data, raw in _texts(batch.column(3)):
-                at = 0
-                for end in cuts(data):
-                    piece = raw[at:end]
-                    slot = xxhash.xxh3_64_intdigest(piece) % (_WORDS * 64)
-                    if int(bits[slot >> 6]) >> (slot & 63) & 1:
-                        rows.append((i, at, end, xxhash.xxh3_128_digest(piece)))
-                    at = end
+                ends = cuts(data)
+                pieces = [raw[a:z] for a, z in zip([0, *ends], ends, strict=False)]
+                on = marks.has(np.array([xxhash.xxh3_64_intdigest(p) for p in pieces], np.uint64))
+                for k in np.flatnonzero(on).tolist():
+                    rows.append((i, ends[k] - len(pieces[k]), ends[k], xxhash.xxh3_128_digest(pieces[k])))
                 if len(rows) > 50_000:
                     yield flush()
             yield flush()
@@ -142,23 +140,13 @@ def _cut_out(run: int):
     return apply
 
 
-def repeat_bitmap(values: DataFrame) -> np.ndarray:
-    """2^26 bits, those of v mod 2^26 set for every value of ``v`` (long) that occurs twice or more."""
-    twice = values.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    slot = f"((v % {_WORDS * 64}) + {_WORDS * 64}) % {_WORDS * 64}"  # as of the unsigned number
-    words = twice.select(F.shiftright(F.expr(slot), 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(({slot}) & 63 as int))").alias("b"))
-    table = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # at most 2^20 rows, whatever the input
-    bits = np.zeros(_WORDS, np.uint64)
-    bits[table["w"].to_numpy()] = table["b"].to_numpy().view(np.uint64)
-    return bits
-
-
 def remove_chunks(docs: DataFrame, run: int = RUN) -> DataFrame:
     """doc_id, n_bytes, n_chunks, n_later_chunks, n_removed, n_spans, kept_sha256 of every row."""
     source = docs.select("doc_id", *row_key(docs), F.encode(text_of(), "UTF-8").alias("__t"))
-    bits = docs.sparkSession.sparkContext.broadcast(repeat_bitmap(source.select("__t").mapInArrow(_hashes, "v long")))
+    bits = bitmap(source.select("__t").mapInArrow(_hashes, "v long").groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     chunks = cut(source.mapInArrow(_chunks(bits), f"doc_id {kind}, __id string, __h long, lo long, hi long, d binary"), "chunks")
+    bits.destroy()
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("__h"), F.col("lo"))
     # Written, so that the join reads two plain shuffles and a frequent chunk's rows can be split.
     first = cut(chunks.groupBy("d").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("d", "first"), "first")

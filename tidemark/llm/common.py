@@ -3,13 +3,21 @@
 Words are runs of ``[^\\x20\\x09-\\x0D]``: only the six ASCII white-space
 characters separate them, so that a JVM regular expression, DuckDB and Python
 agree whatever the text holds.
+
+Names: internal columns are chosen against the columns that the caller has (``fresh``).
+Where an operator keeps the caller's columns and one of them has the name of a column
+that the operator adds, the added one replaces it (``without``).  Names are compared
+without case, as Spark does.
 """
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,18 +25,23 @@ from pyspark.sql import functions as F
 SPACE_RE = r"[\x20\x09-\x0D]+"
 WORD_RE = r"[^\x20\x09-\x0D]+"
 _DIRS: dict[int, tuple[object, str]] = {}
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this application under ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local tests) a temporary folder is used.
+    Only where that setting is absent and the master is this one process (local
+    tests) a temporary folder is used; a cluster without the setting is an error.
     """
     sc = spark.sparkContext
     if (found := _DIRS.get(id(sc))) and found[0] is sc:
         return found[1]
     top = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not top:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     path = f"{top.rstrip('/')}/tidemark-{sc.applicationId}-{uuid.uuid4().hex[:8]}"
     _DIRS[id(sc)] = (sc, path)
@@ -45,18 +58,63 @@ def _remove(sc, path: str) -> None:
         pass
 
 
+@contextlib.contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Executions inside remove their shuffle files when they end."""
+    before = spark.conf.get(_FREE, None)
+    spark.conf.set(_FREE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_FREE) if before is None else spark.conf.set(_FREE, before)
+
+
 def cut(df: DataFrame, name: str = "part", codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     It ends the lineage: a lost executor costs at most the tasks it was running,
-    since every finished file is in storage that all executors see.
+    since every finished file is in storage that all executors see.  ``discard``
+    removes the table before the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").option("compression", codec).parquet(path)
-    # Spark removes shuffle files once the driver's collector finds their plans unreachable; without this that may be after the job.
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    with freed_shuffles(spark):
+        df.write.mode("overwrite").option("compression", codec).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that ``cut`` wrote, once all that reads them is written itself."""
+    for df in tables:
+        if path := _PATHS.pop(df, None):
+            _remove(df.sparkSession.sparkContext, path)
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names`` with as many underscores before them as no column has."""
+    taken = {c.lower() for c in columns}
+    prefix = "__"
+    while any((prefix + n).lower() in taken for n in names):
+        prefix += "_"
+    return [prefix + n for n in names]
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without the columns that an operator's own of these names replace."""
+    gone = {n.lower() for n in names}
+    return df if not any(c.lower() in gone for c in df.columns) else df.select(*[col(c) for c in df.columns if c.lower() not in gone])
+
+
+def col(name: str) -> Column:
+    """A column by its exact name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fields(df: DataFrame) -> str:
+    """The columns of ``df`` as a schema string."""
+    return ", ".join("`" + f.name.replace("`", "``") + "` " + f.dataType.simpleString() for f in df.schema.fields)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

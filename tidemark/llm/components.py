@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -29,19 +29,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u != v").distinct()
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v); the root is the least node reached.
 
     Nodes without an edge to another node aren't listed. No edges: no rows.
     """
     now = cut(edges.select("u", "v").where("u != v").distinct(), "edges")
     seen = None
-    for _ in range(rounds):
-        now = cut(_star(_star(now, True), False), "edges")
+    while True:  # settles after a number of rounds that grows with the logarithm of the nodes
+        before, now = now, cut(_star(_star(now, True), False), "edges")
+        discard(before)
         mark = now.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.col("v").cast("decimal(38,0)"))).first()
         if mark == seen:
             break
         seen = mark
-    else:
-        raise RuntimeError("connected components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

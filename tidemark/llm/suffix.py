@@ -8,8 +8,8 @@ place as well, in any document, this one included.
    Neighbouring windows of one mark form a *context* (the bytes of all of them, at most
    ``RUN`` windows).  Marks that occur at one place of the corpus only can't
    hold a repeat.  They are counted by a combinable aggregate, and what is left is
-   told to a second scan as a bitmap of a fixed 8 MB, which only saves work: marks are
-   counted exactly again afterwards.
+   told to a second scan as a bitmap (see ``bitmaps``), which only saves work: marks
+   are counted exactly again afterwards.
 2. Contexts that occur twice or more as they are (digests of 64 + 64 bits) are repeated
    as a whole; copies, however many, take part once in what follows.
 3. Contexts that share a mark with different ones are searched: their bytes are cut
@@ -47,14 +47,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, row_key, text_of
+from .bitmaps import bitmap
+from .common import cut, discard, read, row_key, text_of
 from .flat import flat, slices
 
 LENGTH, MARK, RUN = 200, 48, 256
 GROUP = 1500
+TASK_BYTES = 2 << 20
 PLACES = 19
 CORE = MARK + PLACES * ((LENGTH - MARK) // PLACES - 1)
-_BITMAP = 1 << 20  # words of 64 bits
 _STEP = 8
 
 
@@ -124,14 +125,13 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([mark, mark[inner]]).view(np.int64))], ["v"])
 
 
-def _kept_contexts(bitmap):
+def _kept_contexts(bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
+        marks = bits.value
         for batch in batches:
             data, offsets = flat(batch.column(2))
             for mark, row, first, last, inner in contexts(data, offsets):
-                slot = mark % np.uint64(_BITMAP * 64)
-                on = (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+                on = marks.has(mark)
                 mark, row, first, last, inner = mark[on], row[on], first[on], last[on], inner[on]
                 for lo in range(0, len(mark), 4000):
                     part = slice(lo, lo + 4000)
@@ -328,14 +328,11 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """__id, __h, runs: for each document with repeats (see ``row_key``) the byte ranges (lo, hi), not merged."""
-    spark = docs.sparkSession
     source = docs.select(*row_key(docs), F.encode(text_of(), "UTF-8").alias("t"))
     marks = source.select("t").mapInArrow(_marks, "v long").groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    words = marks.select(F.shiftright(F.expr(slot_sql()), 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast({slot_sql()} & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    table = words.toPandas()  # at most 2^20 rows, whatever the input
-    bitmap = np.zeros(_BITMAP, np.uint64)
-    bitmap[table["w"].to_numpy(np.int64)] = table["b"].to_numpy(np.int64).view(np.uint64)
-    found = cut(source.mapInArrow(_kept_contexts(spark.sparkContext.broadcast(bitmap)), "v long, c long, __id string, __h long, lo long, inner boolean, bytes binary"), "contexts", "zstd")
+    bits = bitmap(marks)
+    found = cut(source.mapInArrow(_kept_contexts(bits), "v long, c long, __id string, __h long, lo long, inner boolean, bytes binary"), "contexts", "zstd")
+    bits.destroy()
     distinct = cut(found.groupBy("v", "c").agg(F.count(F.lit(1)).alias("n"), F.max("inner").alias("inner"), F.any_value("bytes").alias("bytes")), "distinct", "zstd")
     marked = distinct.groupBy("v").agg(F.count(F.lit(1)).alias("nd"), F.sum((F.col("n") == 1).cast("long")).alias("once"), F.max("inner").alias("inner")).where("once > 0 AND (nd > 1 OR inner)")
     work = cut(distinct.join(marked.select("v", "nd"), "v").select("v", "c", "n", "nd", "bytes"), "work", "zstd")
@@ -346,7 +343,10 @@ def repeated_spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
     shared = cores.groupBy("v2").agg(F.count(F.lit(1)).alias("nd"), F.sum((F.col("n") == 1).cast("long")).alias("once")).where("once > 0 AND nd > 1")
     spread = F.when(F.col("nd") > group, F.pmod(F.xxhash64("c2"), F.ceil(F.col("nd") / group))).otherwise(F.lit(-1)).cast("int")
     many = cores.join(shared.select("v2", "nd"), "v2").select("v2", "c2", F.col("n") == 1, spread, "bytes")
-    parts = few.unionAll(many).repartition("v", "part").sortWithinPartitions("v", "part", "c")
+    parts = few.unionAll(many)
+    # Partitions by the bytes to search, so that the longest task doesn't grow with the input.
+    n = max(1, -(-(parts.agg(F.sum(F.length("bytes"))).first()[0] or 0) // TASK_BYTES))
+    parts = parts.repartition(n, "v", "part").sortWithinPartitions("v", "part", "c")
     searched = cut(parts.mapInArrow(_search, "v long, c long, a long, z long, d binary, own boolean"), "searched")
     digests = searched.where("d IS NOT NULL")
     twice = digests.groupBy("d").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("d")
@@ -356,14 +356,11 @@ def repeated_spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
     of_cores = inside.unionAll(whole(cores, "v2", "c2")).withColumnsRenamed({"v": "v2", "c": "c2"})
     lifted = finer.where("n = 1").select("v", "c", "v2", "c2", "at").join(of_cores, ["v2", "c2"]).select("v", "c", F.col("at") + F.col("a"), F.col("at") + F.col("z"))
     hits = cut(whole(distinct, "v", "c").unionAll(inside).unionAll(lifted), "hits")
+    discard(work, finer, cores, searched, distinct)
     spans = found.select("v", "c", "__id", "__h", "lo").join(hits, ["v", "c"])
     return spans.groupBy("__id", "__h").agg(F.collect_set(F.struct((F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("z") + LENGTH).alias("hi"))).alias("runs"))
 
 
-def slot_sql() -> str:
-    return f"(((v % {_BITMAP * 64}) + {_BITMAP * 64}) % {_BITMAP * 64})"
-
-
 def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs``."""
     spans = repeated_spans(docs, group)
