@@ -395,6 +395,22 @@ def test_op9(spark, docs, empty, most):
         assert decontamination.mark(docs, bench.limit(0)).where("n_hit > 0 OR n_items > 0").count() == 0 and decontamination.decontaminate(empty, bench).count() == 0
 
 
+@pytest.mark.parametrize("most", [250_000, 3])
+def test_op9_stage_drops_any_full_passage(spark, most):
+    """A passage that is 1 % of a long text, and one cut short by a word."""
+    r = random.Random(4)
+    text = lambda n: " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(n))
+    item, short = text(40), "very common words"
+    rows = [(1, f"{text(1500)} {' '.join(item.split()[10:23])} {text(1500)}"), (2, f"{text(1500)} {' '.join(item.split()[10:22])} {text(1500)}"), (3, f"{text(200)} {short} {text(200)}"), (4, f"{short} {text(10)}"), (5, None), (6, text(9))]
+    docs = spark.createDataFrame([(i, t, "mine", "mine") for i, t in rows], "doc_id long, text string, n_words string, contaminated string")
+    bench = spark.createDataFrame([("a", item), ("b", short)], "item_id string, text string")
+    kept = decontamination.decontaminate(docs, bench, max_windows=most)
+    assert kept.columns == docs.columns and {tuple(x) for x in kept.collect()} == {(i, t, "mine", "mine") for i, t in rows if i not in (1, 4)}
+    marked = decontamination.mark(docs, bench, max_windows=most)
+    assert marked.columns == ["doc_id", "text", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    assert {x["doc_id"]: (x["n_words"], x["n_hit"], x["contaminated"]) for x in marked.collect()} == {1: (3013, 13, False), 2: (3012, 0, False), 3: (403, 3, False), 4: (13, 3, True), 5: (0, 0, False), 6: (9, 0, False)}
+
+
 def test_op10(spark, docs, empty):
     labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(50)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
     ratio = quality.ngram_ratio(docs, labels)

@@ -13,14 +13,17 @@ the three tables of Wu and Manber, over blocks of two words (one for m = 1):
 
 The scan runs batch-wise over whole Arrow columns, so all steps are array
 operations; only windows whose hash is a pattern's reach Python.  Patterns come
-from the benchmark in blocks of at most ``max_windows`` windows; each block is a
-broadcast of bounded size, and further blocks are further passes over the hits
-kept so far.
+from the benchmark in blocks of at most ``max_windows`` windows, each a broadcast of
+bounded size.  One block is one scan without a shuffle.  With more, each block is a scan
+of the texts that writes the hits alone, by digest of the text; their union is
+small and joined to the documents once.
 
 Edge cases: null and empty texts have no words and no hits; items without words
 have no window; a null item_id counts as the empty string; items that repeat count
 once by item_id; an empty benchmark hits nothing; windows don't cross documents;
-ties don't arise; repeated rows get equal results; extra columns are kept by ``mark``.
+ties don't arise; repeated rows get equal results; extra columns are kept by ``mark``,
+but for those named like a column that it adds, which is put in their place, and all
+by ``decontaminate``.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import col, cut, fields, fresh, read, without
 from .flat import LOWER, contains, flat, slices, word_bounds, word_hashes
 
 WINDOW = 13
@@ -136,43 +139,69 @@ def _rolling_rows(h: np.ndarray) -> np.ndarray:
     return (h * _powers(h.shape[1])).sum(axis=1, dtype=np.uint64)
 
 
-def _mark(patterns, text_at: int, last: bool):
-    """Adds what one block of patterns finds to the columns __runs (pairs of first word and end) and __items."""
+def _search(table: Patterns, column: pa.Array) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set[str]]]:
+    """(words, runs of hit words, items) of each text."""
+    data, offsets = flat(column)
+    n = len(column)
+    runs_of: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    words, items_of = np.zeros(n, np.int64), [set() for _ in range(n)]
+    for a, z in slices(offsets):
+        part = LOWER[data[offsets[a] : offsets[z]]]
+        first, runs, items = table.search(part, offsets[a : z + 1] - offsets[a])
+        words[a:z] = np.diff(first)
+        for i, m in runs:
+            at = int(np.searchsorted(first, i, "right")) - 1
+            while first[at + 1] <= i:
+                at += 1
+            runs_of[a + at].append((i - int(first[at]), i - int(first[at]) + m))
+        for i, x in items.items():
+            items_of[a + i] |= x
+    return words, runs_of, items_of
+
+
+def _columns(words: np.ndarray, runs_of: list[list[tuple[int, int]]], items_of: list[set[str]], window: int) -> list[pa.Array]:
+    hit = np.array([_covered(r) for r in runs_of], np.int64)
+    return [
+        pa.array(words), pa.array(hit), pa.array([len(x) for x in items_of], pa.int64()),
+        pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items_of], pa.string()),
+        pa.array((hit > 0) & (20 * hit >= words)), pa.array([any(z - a == window for a, z in r) for r in runs_of], pa.bool_()),
+    ]
+
+
+def _one_block(patterns, text_at: int, names: list[str], window: int):
+    """All results at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = patterns.value
         for batch in batches:
-            data, offsets = flat(batch.column(text_at))
-            n = batch.num_rows
-            runs_of: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-            words, items_of = np.zeros(n, np.int64), [set() for _ in range(n)]
-            if "__runs" in batch.schema.names:
-                for i, (r, x) in enumerate(zip(batch.column("__runs").to_pylist(), batch.column("__items").to_pylist(), strict=True)):
-                    runs_of[i] = list(map(tuple, np.frombuffer(r, np.int64).reshape(-1, 2).tolist()))
-                    items_of[i] = set(x)
-            for a, z in slices(offsets):
-                part = LOWER[data[offsets[a] : offsets[z]]]
-                first, runs, items = table.search(part, offsets[a : z + 1] - offsets[a])
-                words[a:z] = np.diff(first)
-                for i, m in runs:
-                    at = int(np.searchsorted(first, i, "right")) - 1
-                    while first[at + 1] <= i:
-                        at += 1
-                    runs_of[a + at].append((i - int(first[at]), i - int(first[at]) + m))
-                for i, x in items.items():
-                    items_of[a + i] |= x
-            kept = [c for c in batch.schema.names if c not in ("__runs", "__items")]
-            columns = [batch.column(c) for c in kept]
-            if not last:
-                more = {"__runs": pa.array([np.array(r, np.int64).tobytes() for r in runs_of], pa.binary()), "__items": pa.array([sorted(x) for x in items_of], pa.list_(pa.string()))}
-            else:
-                hit = np.array([_covered(r) for r in runs_of], np.int64)
-                more = {
-                    "n_words": pa.array(words), "n_hit": pa.array(hit), "n_items": pa.array([len(x) for x in items_of], pa.int64()),
-                    "items_sha256": pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items_of], pa.string()),
-                    "contaminated": pa.array((hit > 0) & (20 * hit >= words)),
-                }
-            yield pa.RecordBatch.from_arrays([*columns, *more.values()], [*kept, *more])
+            found = _search(patterns.value, batch.column(text_at))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *_columns(*found, window)], [*batch.schema.names, *names])
+
+    return run
+
+
+def _hits(patterns):
+    """(k, runs, items) of the texts (k, text) that one block of several hits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, runs, items = _search(patterns.value, batch.column(1))
+            on = [i for i, r in enumerate(runs) if r]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(on, pa.int64())), pa.array([np.array(runs[i], np.int64).tobytes() for i in on], pa.binary()), pa.array([sorted(items[i]) for i in on], pa.list_(pa.string()))], ["k", "runs", "items"])
+
+    return run
+
+
+def _joined(text_at: int, names: list[str], window: int):
+    """The results of rows whose last column has the hits of all blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing = Patterns([], window)
+        for batch in batches:
+            words, _, _ = _search(nothing, batch.column(text_at))
+            found = [x or [] for x in batch.column(batch.num_columns - 1).to_pylist()]
+            runs = [[tuple(r) for h in x for r in np.frombuffer(h["runs"], np.int64).reshape(-1, 2).tolist()] for x in found]
+            items = [{i for h in x for i in h["items"]} for x in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *_columns(words, runs, items, window)], [*batch.schema.names[:-1], *names])
 
     return run
 
@@ -198,24 +227,50 @@ def _blocks(benchmark: DataFrame, window: int, most: int) -> Iterator[list[tuple
     yield block
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with n_words, n_hit, n_items, items_sha256 and contaminated. No shuffle."""
+def _marked(docs: DataFrame, benchmark: DataFrame, names: list[str], window: int, max_windows: int, text: str) -> DataFrame:
+    """All columns of ``docs`` and six more: those of ``mark`` and whether a full window occurs."""
     sc = docs.sparkSession.sparkContext
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    out = fields(docs) + "".join(f", `{n}` {t}" for n, t in zip(names, ("long", "long", "long", "string", "boolean", "boolean"), strict=True))
+    at = docs.columns.index(text)
     blocks = _blocks(benchmark, window, max_windows)
-    now, block = docs, next(blocks)
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        return docs.mapInArrow(_one_block(sc.broadcast(Patterns(block, window)), at, names, window), out)
+    texts = docs.select(F.md5(col(text)).alias("k"), col(text).alias("t")).where("t IS NOT NULL")
+    hits = None
     while block is not None:
-        following = next(blocks, None)
-        last = following is None
-        extra = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" if last else "__runs binary, __items array<string>"
-        now = now.mapInArrow(_mark(sc.broadcast(Patterns(block, window)), docs.columns.index(text), last), f"{fields}, {extra}")
-        now, block = (now if last else cut(now, "hits")), following
-    return now
+        patterns = sc.broadcast(Patterns(block, window))
+        found = cut(texts.mapInArrow(_hits(patterns), "k string, runs binary, items array<string>"), "hits")
+        patterns.destroy()
+        hits = found if hits is None else hits.unionAll(found)
+        block, following = following, next(blocks, None)
+    # Equal texts have equal hits; a text has at most one row a block.
+    merged = cut(hits.groupBy("k").agg(F.collect_set(F.struct("runs", "items")).alias("found")), "hits")
+    key, there, found = fresh(docs.columns, "key", "there", "found")
+    merged = merged.select(F.col("k").alias(there), F.col("found").alias(found))
+    joined = docs.withColumn(key, F.md5(col(text))).join(merged, F.col(key) == F.col(there), "left").drop(key, there)
+    return joined.select(*[col(c) for c in docs.columns], found).mapInArrow(_joined(at, names, window), out)
+
+
+COLUMNS = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+
+
+def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS, text: str = "text") -> DataFrame:
+    """The columns of ``docs`` with n_words, n_hit, n_items, items_sha256 and contaminated."""
+    docs = without(docs, *COLUMNS)
+    full = fresh(docs.columns, "full")
+    return _marked(docs, benchmark, [*COLUMNS, *full], window, max_windows, text).drop(*full)
+
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """The rows of ``docs`` that hold no full window of an item and aren't contaminated.
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated."""
-    return mark(docs, benchmark).where("NOT contaminated").select(*docs.columns)
+    A passage of ``window`` words is a leak however long the document around it; hits of
+    items of fewer words, which may be common phrases, count by their share of the words.
+    """
+    names = fresh(docs.columns, *COLUMNS, "full")
+    marked = _marked(docs, benchmark, names, window, max_windows, "text")
+    return marked.where(~(F.col(names[4]) | F.col(names[5]))).select(*[col(c) for c in docs.columns])
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,7 +282,7 @@ _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijk
 _WORDS = f"regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 OP9_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
-i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, {_WORDS} AS w FROM benchmark),
 iw AS (SELECT item_id, w, least(13, len(w)) AS k, unnest(generate_series(1, len(w) - least(13, len(w)) + 1)) AS p FROM i WHERE len(w) > 0),
 p AS (SELECT DISTINCT item_id, k, array_to_string(w[p:p + k - 1], ' ') AS s FROM iw),
 ks AS (SELECT DISTINCT k FROM p),
