@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import chunking, components, decontamination, html_text, lines, mixing, quality, sharding, simhash, suffix, toxicity
+from tidemark.llm import chunking, common, components, decontamination, html_text, lines, mixing, quality, sharding, simhash, suffix, toxicity
 
 LOW = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __h string, size string, shard string, score string, fp string"
@@ -248,17 +248,66 @@ def test_op6(docs, empty):
             left -= goal[s]
             open_.remove(s)
     goal |= {s: level * weight[s] for s in open_}
+    # Queues, finish times, one sort of all passes and the truncation at the budget, in plain code.
+    key = lambda i: hashlib.md5(f"{'null' if rows[i][0] is None else rows[i][0]}|mix-1|{rows[i][1] or ''}".encode()).hexdigest()
+    begin, at = {}, Counter()
+    for i in sorted(range(len(rows)), key=lambda i: (int(key(i)[:8], 16) % 3, key(i))):
+        begin[i] = at[rows[i][2]]
+        at[rows[i][2]] += size(rows[i][1])
+    passes = [(i, size(t), s, begin[i] + p * sizes[s]) for i, (_, t, s) in enumerate(rows) for p in (0, 1) if size(t)]
+    packets = []
+    for x, (_, n, s, at) in enumerate(passes):
+        for a, z in ((at, min(at + n, int(goal[s]))), (max(at, int(goal[s])), at + n)):
+            if z > a:
+                packets.append((z / goal[s], s is None, s or "", a, z - a, x))
+    left, of_pass = int(1.5 * sum(sizes.values())), Counter()
+    for *_, n, x in sorted(packets):
+        of_pass[x] += min(left, n)
+        left -= min(left, n)
+    taken, whole = Counter(), Counter()
+    for x, (i, n, _, _) in enumerate(passes):
+        taken[i] += of_pass[x]
+        whole[i] += 2 * of_pass[x] >= n
+    assert left == 0
+    finish = lambda i: (begin[i] + size(rows[i][1])) / goal[rows[i][2]] if goal[rows[i][2]] else None
+    same(mixing.plan_mix(docs, buckets=3), [(d, s, size(t), sizes[s], goal[s], taken[i], finish(i)) for i, (d, t, s) in enumerate(rows)])
     for s in names:
-        mine = [r for r in out if r["source"] == s]
-        assert all(abs(r["target"] - goal[s]) < 1e-6 and r["source_size"] == sizes[s] and 0 <= r["taken"] <= 2 * r["size"] for r in mine)
-        assert abs(sum(r["taken"] for r in mine) - goal[s]) < 1
+        mine = [i for i in range(len(rows)) if rows[i][2] == s]
+        assert abs(sum(taken[i] for i in mine) - goal[s]) <= len(names) and all(taken[i] <= 2 * size(rows[i][1]) for i in mine)
     again = mixing.plan_mix(docs.repartition(5), buckets=3).collect()
     assert sorted(map(repr, out)) == sorted(map(repr, again)) and mixing.plan_mix(empty).count() == 0
-    mixed = Counter((r["doc_id"], r["text"]) for r in mixing.mix_documents(docs, buckets=3).collect())
-    exact = Counter()
-    for r in out:
-        exact[r["doc_id"], r["size"]] += int(r["taken"] / r["size"] + 0.5) if r["size"] else 0
-    assert +exact == sum((Counter({(d, size(t)): n}) for (d, t), n in mixed.items()), Counter())
+    mixed = mixing.mix_documents(docs.withColumns({"finish": F.lit(1), "__s": F.lit("s"), "SIZE": F.lit(0)}), buckets=3)
+    assert mixed.columns == [*docs.columns, "finish", "__s", "SIZE"] and mixing.mix_documents(empty).count() == 0
+    want = Counter()
+    for i, n in whole.items():
+        want[rows[i][0], rows[i][1]] += n
+    got = mixed.collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == +want
+    # In order of finish time: each source's documents come in the order of its queue.
+    served = sorted(((at + n) / goal[s], s is None, s or "", at, i) for x, (i, n, s, at) in enumerate(passes) if 2 * of_pass[x] >= n)
+    order = [i for *_, i in served if rows[i][0] not in (None, 86)]
+    assert [r["doc_id"] for r in got if r["doc_id"] not in (None, 86)] == [rows[i][0] for i in order]
+
+
+def test_copies(spark):
+    """Rows of many copies are dealt in pieces and numbered alike."""
+    table = spark.createDataFrame([("a", 3), ("b", 10), ("c", 25), ("d", 1)], "k string, n long")
+    got = common.copies(table, "n", "i", most=10).collect()
+    assert sorted((r["k"], r["i"]) for r in got) == sorted((k, i) for k, n in (("a", 3), ("b", 10), ("c", 25), ("d", 1)) for i in range(n))
+
+
+def test_op6_many_sources(spark):
+    """More sources than range partitions; all weights and caps as of the plain water filling above."""
+    sizes = [(f"s{i:03}", 10 + (i * 37) % 90) for i in range(200)] + [(None, 50)]
+    got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(sizes, "source string, source_size long")).collect()}
+    weight = {s: (3, 1, 2)[i % 3] for i, (s, _) in enumerate(sizes)}
+    left, open_, goal = 1.5 * sum(n for _, n in sizes), dict(sizes), {}
+    while over := [s for s, n in open_.items() if left / sum(weight[x] for x in open_) * weight[s] > 2 * n]:
+        for s in over:
+            goal[s] = 2 * open_.pop(s)
+            left -= goal[s]
+    goal |= {s: left / sum(weight[x] for x in open_) * weight[s] for s in open_}
+    assert got.keys() == goal.keys() and all(abs(got[s] - goal[s]) < 1e-9 * goal[s] for s in goal)
 
 
 def brute_fingerprint(t):

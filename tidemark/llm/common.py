@@ -136,3 +136,17 @@ def row_key(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> list[C
         F.coalesce(F.col(doc_id).cast("string"), F.lit("\u0000")).alias("__id"),
         F.xxhash64(F.concat(F.when(F.col(text).isNull(), F.lit("0")).otherwise(F.lit("1")), text_of(text))).alias("__h"),
     ]
+
+
+def copies(table: DataFrame, count: str, name: str, most: int = 100_000) -> DataFrame:
+    """Each row of ``table`` (written) as often as its ``count`` says, numbered from 0 in ``name``.
+
+    A row of very many copies is first dealt over tasks in pieces of ``most``, so that a hot
+    document is no single task.
+    """
+    piece, = fresh(table.columns, "piece")
+    few = table.where(F.col(count) <= most).withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1)))
+    many = table.where(F.col(count) > most).withColumn(piece, F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({count} - 1) div {most}"))))
+    many = many.repartition(*[F.col(c) for c in (*table.columns, piece)])
+    many = many.withColumn(name, F.explode(F.sequence(F.col(piece) * most, F.least(F.col(count), (F.col(piece) + 1) * most) - 1))).drop(piece)
+    return few.unionAll(many)
