@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -411,10 +413,90 @@ def test_op8_several_articles():
         assert html_text.extract("<body>" + "".join(f"<section>{x}</section>" for x in parts) + "</body>") == want
 
 
+def _soup(r):
+    """A page of divs whose class names mean nothing: [(tag path, text, characters of links)] and its html."""
+    words = lambda n: " ".join("".join(r.choices("abcdefgh", k=5)) + r.choice(["", "", "", ",", "."]) for _ in range(n))
+    blocks, parts = [], []
+    for k in range(r.randint(3, 9)):
+        label = f"div.q{r.randint(0, 5)}"
+        inner = r.choice([(), (), ("section",), ("aside",)])
+        parts.append(f"<{label[:3]} class={label[4:]}>" + "".join(f"<{t}>" for t in inner))
+        for _ in range(r.randint(1, 5)):
+            tag, linked, t = r.choice(["p", "p", "p", "h2", "li"]), r.random() < 0.2, words(r.choice([2, 8, 60]))
+            parts.append(f"<{tag}><a href=x>{t}</a></{tag}>" if linked else f"<{tag}>{t}</{tag}>")
+            blocks.append((("", "html", "body", label, *inner, tag), t, len(t) if linked else 0))
+        parts.append("".join(f"</{t}>" for t in inner) + "</div>")
+    return blocks, "<html><body>" + "".join(parts) + "</body></html>"
+
+
+def _plain_content(blocks):
+    """The texts of content paths, steps 1 to 4 of the module in plain code over whole paths."""
+    sums = {}
+    for path, text, linked in blocks:
+        s = sums.setdefault(path, [0, 0, 0, 0])
+        for i, x in enumerate((len(text), sum(c in ".,;:!?-" for c in text), linked, 1)):
+            s[i] += x
+    paths = list(sums)
+    alike = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b))) / max(len(a), len(b))
+    ratio = [[s[0] / s[3] for s in sums.values()], [(s[1] + 0.5) / s[3] for s in sums.values()]]
+    fused = []
+    for i, p in enumerate(paths):
+        near = {j: np.exp(-((i - j) ** 2) / 2) * alike(p, paths[j]) for j in range(len(paths)) if abs(i - j) <= 2}
+        a, b = (min(3 * x[i], sum(w * x[j] for j, w in near.items()) / sum(near.values())) for x in ratio)
+        chars, _, linked, n = sums[p]
+        fused.append((a * b) ** 0.5 * (1 - linked / chars) * n**0.25 * (html_text.LOW if "aside" in p else 1))
+    least = max(html_text.FLOOR, min(html_text.THRESHOLD * (np.std(fused) + np.mean(fused)), max(fused)))
+    chosen = {p for p, v in zip(paths, fused, strict=True) if v >= least * (1 - 1e-12)}
+    return [t for p, t, _ in blocks if p in chosen]
+
+
+def test_op8_ratios_against_plain_version():
+    r = random.Random(3)
+    chosen = 0
+    for _ in range(200):
+        blocks, page = _soup(r)
+        read = html_text._Reader(page)
+        html_text._weigh(read.nodes, read.blocks, False)
+        content = html_text.content_paths(html_text.paths_of(read.nodes, read.blocks))
+        want = _plain_content(blocks)
+        assert [b.text for b in read.blocks] == [t for _, t, _ in blocks]
+        assert [b.text for b in read.blocks if b.node.path in content] == want
+        chosen += 0 < len(want) < len(blocks)
+    assert chosen > 100
+
+
+def test_op8_ratios_decide(monkeypatch):
+    """No article, no telling names: ratios find the story, and without them the result is another."""
+    story = "".join(f"<p>Paragraph {i} of the story, which has some text in it; it goes on, and on.</p>" for i in range(5))
+    page = f"<body><div class=k1><ul><li><a href=x>One</a><li><a href=y>Two</a></ul></div><div class=k2>Buy now</div><div class=k3><h2>Head</h2>{story}</div><div class=k4>2020</div></body>"
+    want = html_text.extract(f"<article><h2>Head</h2>{story}</article>")
+    assert html_text.extract(page) == want and want.startswith("Head\nParagraph 0")
+    article = f"<nav><a href=x>One</a></nav><div class=ad>Buy now.</div><article><h1>Head</h1>{story}</article><footer>2020</footer>"
+    before = html_text.extract(article)
+    assert before == want
+    monkeypatch.setattr(html_text, "ratios", lambda paths: [1.0] * len(paths))
+    assert html_text.extract(page) != want and html_text.extract(article) != before
+
+
+def test_op8_hostile_pages():
+    """Depth and unclosed tags cost linear time and memory."""
+    tracemalloc.start()
+    assert html_text.extract("<div>" * 100_000 + "deep text, here." + "</div>" * 100_000) == "deep text, here."
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    for page in ("<b>" * 50_000 + "<p>x" * 20_000, "<div>" * 50_000 + "</span>" * 50_000, "<table><tr><td>" * 20_000 + "<tr>" * 20_000, "<tr><table>" + "<div>" * 50_000 + "<tr>" * 20_000):
+        began = time.process_time()
+        html_text.extract(page)
+        assert time.process_time() - began < 20
+
+
 def test_op8_frame(spark):
     pages = spark.createDataFrame([(1, "u", "<p>Some text, here.</p>", "x"), (2, None, None, "y")], "page_id long, url string, html string, other string")
     assert [tuple(r) for r in html_text.extract_pages(pages).collect()] == [(1, "u", "<p>Some text, here.</p>", "x", "Some text, here.", 16), (2, None, None, "y", "", 0)]
     assert html_text.extract_pages(pages.limit(0)).count() == 0
+    clash = pages.withColumns({"TEXT": F.lit("a"), "n_chars": F.lit("b"), "a.b": F.lit(1)})
+    assert html_text.extract_pages(clash).columns == ["page_id", "url", "html", "other", "a.b", "text", "n_chars"] and html_text.extract_pages(clash).first()["text"] == "Some text, here."
+    assert html_text.extract_pages(pages.select(F.col("html").alias("text")), "text").first()["text"] == "Some text, here."
 
 
 @pytest.mark.parametrize("most", [250_000, 3])

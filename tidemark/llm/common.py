@@ -16,9 +16,10 @@ import atexit
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from weakref import WeakKeyDictionary
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,11 +113,6 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def fields(df: DataFrame) -> str:
-    """The columns of ``df`` as a schema string."""
-    return ", ".join("`" + f.name.replace("`", "``") + "` " + f.dataType.simpleString() for f in df.schema.fields)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -150,3 +146,20 @@ def copies(table: DataFrame, count: str, name: str, most: int = 100_000) -> Data
     many = many.repartition(*[F.col(c) for c in (*table.columns, piece)])
     many = many.withColumn(name, F.explode(F.sequence(F.col(piece) * most, F.least(F.col(count), (F.col(piece) + 1) * most) - 1))).drop(piece)
     return few.unionAll(many)
+
+
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[list[pa.Array]]], added: dict[str, str]) -> DataFrame:
+    """All columns of ``df`` and ``added`` (name: type) ones, computed batch by batch without a shuffle.
+
+    ``run`` yields lists of arrays, the batch's columns and the added ones.  It sees columns by
+    position, as names with dots in them can't be told to Spark's own map.
+    """
+    kinds = [*(f.dataType.simpleString() for f in df.schema.fields), *added.values()]
+    names = [f"c{i}" for i in range(len(kinds))]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in run(batches):
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    plain = df.toDF(*names[: len(df.columns)])
+    return plain.mapInArrow(rows, ", ".join(map(" ".join, zip(names, kinds, strict=True)))).toDF(*df.columns, *added)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, cut, fields, fresh, read, without
+from .common import col, cut, fresh, map_rows, read, without
 from .flat import LOWER, contains, flat, slices, word_bounds, word_hashes
 
 WINDOW = 13
@@ -168,13 +168,12 @@ def _columns(words: np.ndarray, runs_of: list[list[tuple[int, int]]], items_of:
     ]
 
 
-def _one_block(patterns, text_at: int, names: list[str], window: int):
+def _one_block(patterns, text_at: int, window: int):
     """All results at once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         for batch in batches:
-            found = _search(patterns.value, batch.column(text_at))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *_columns(*found, window)], [*batch.schema.names, *names])
+            yield [*batch.columns, *_columns(*_search(patterns.value, batch.column(text_at)), window)]
 
     return run
 
@@ -191,17 +190,17 @@ def _hits(patterns):
     return run
 
 
-def _joined(text_at: int, names: list[str], window: int):
+def _joined(text_at: int, window: int):
     """The results of rows whose last column has the hits of all blocks."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         nothing = Patterns([], window)
         for batch in batches:
             words, _, _ = _search(nothing, batch.column(text_at))
             found = [x or [] for x in batch.column(batch.num_columns - 1).to_pylist()]
             runs = [[tuple(r) for h in x for r in np.frombuffer(h["runs"], np.int64).reshape(-1, 2).tolist()] for x in found]
             items = [{i for h in x for i in h["items"]} for x in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *_columns(words, runs, items, window)], [*batch.schema.names[:-1], *names])
+            yield [*batch.columns, *_columns(words, runs, items, window)]
 
     return run
 
@@ -230,12 +229,12 @@ def _blocks(benchmark: DataFrame, window: int, most: int) -> Iterator[list[tuple
 def _marked(docs: DataFrame, benchmark: DataFrame, names: list[str], window: int, max_windows: int, text: str) -> DataFrame:
     """All columns of ``docs`` and six more: those of ``mark`` and whether a full window occurs."""
     sc = docs.sparkSession.sparkContext
-    out = fields(docs) + "".join(f", `{n}` {t}" for n, t in zip(names, ("long", "long", "long", "string", "boolean", "boolean"), strict=True))
+    out = dict(zip(names, ("long", "long", "long", "string", "boolean", "boolean"), strict=True))
     at = docs.columns.index(text)
     blocks = _blocks(benchmark, window, max_windows)
     block, following = next(blocks), next(blocks, None)
     if following is None:
-        return docs.mapInArrow(_one_block(sc.broadcast(Patterns(block, window)), at, names, window), out)
+        return map_rows(docs, _one_block(sc.broadcast(Patterns(block, window)), at, window), out)
     texts = docs.select(F.md5(col(text)).alias("k"), col(text).alias("t")).where("t IS NOT NULL")
     hits = None
     while block is not None:
@@ -249,7 +248,7 @@ def _marked(docs: DataFrame, benchmark: DataFrame, names: list[str], window: int
     key, there, found = fresh(docs.columns, "key", "there", "found")
     merged = merged.select(F.col("k").alias(there), F.col("found").alias(found))
     joined = docs.withColumn(key, F.md5(col(text))).join(merged, F.col(key) == F.col(there), "left").drop(key, there)
-    return joined.select(*[col(c) for c in docs.columns], found).mapInArrow(_joined(at, names, window), out)
+    return map_rows(joined.select(*map(col, docs.columns), found), _joined(at, window), out).drop(found)
 
 
 COLUMNS = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
@@ -270,7 +269,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     """
     names = fresh(docs.columns, *COLUMNS, "full")
     marked = _marked(docs, benchmark, names, window, max_windows, "text")
-    return marked.where(~(F.col(names[4]) | F.col(names[5]))).select(*[col(c) for c in docs.columns])
+    return marked.where(~(F.col(names[4]) | F.col(names[5]))).select(*map(col, docs.columns))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

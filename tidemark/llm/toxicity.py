@@ -25,7 +25,8 @@ are scored; memory is bounded by a batch, and the model (4 MB) is the only broad
 Edge cases: null and empty texts have no words and get the score of that; very long
 words are read in overlapping pieces; without both labels in the learning folds
 every score is the share of toxic rows (0 if there are none); repeated rows get equal
-scores, an empty table no rows; extra columns are kept by ``score_toxicity``.
+scores, an empty table no rows; extra columns are kept by ``score_toxicity``, but for
+those named like the two that it adds, which are put in their place.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import map_rows, read, without
 
 MAX_TOXIC, MAX_CLEAN, MAX_TRAIN_BYTES = 1000, 4000, 16_000
 LANDMARKS = 64
@@ -322,21 +323,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return train([r[1] for r in got], [int(r[2] == 1) for r in got], base)
 
 
-def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: Model, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """All columns of ``docs``, score and predicted. No shuffle."""
+    docs = without(docs, *names)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         own = shared.value
         for batch in batches:
             scores = np.empty(batch.num_rows)
             for lo in range(0, batch.num_rows, 500):
                 scores[lo : lo + 500] = own.score(batch.column(at).slice(lo, 500).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
+            yield [*batch.columns, pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))]
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, score double, predicted int")
+    return map_rows(docs, run, dict(zip(names, ("double", "int"), strict=True)))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
