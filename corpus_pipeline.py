@@ -10,8 +10,9 @@ columns pass through every stage as its operator's docstring says.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, read
+from tidemark.llm.common import col, cut, fresh, read
 from tidemark.llm.decontamination import decontaminate
 from tidemark.llm.mixing import mix_documents
 from tidemark.llm.sharding import shard_documents
@@ -22,7 +23,8 @@ from tidemark.llm.toxicity import fit, score_toxicity
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model doesn't predict as toxic."""
     model = fit(docs, read(spark, sf_dir, "labels"))
-    return score_toxicity(docs, model).where("predicted = 0").select(*docs.columns)
+    score, predicted = fresh(docs.columns, "score", "predicted")
+    return score_toxicity(docs, model, (score, predicted)).where(F.col(predicted) == 0).select(*map(col, docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that don't hold benchmark passages beyond the threshold."""
+    """Documents that hold no full window of a benchmark item, and few words of short items."""
     return decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
