@@ -318,8 +318,8 @@ def brute_fingerprint(t):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
 
 
-@pytest.mark.parametrize("m", [2, 3])
-def test_op7(docs, empty, m):
+@pytest.mark.parametrize("segments", [(3, 1), (5, 2), (7, 4)])
+def test_op7(docs, empty, segments):
     rows = corpus()
     fps = [brute_fingerprint(t) for _, t, _ in rows]
     parent = list(range(len(rows)))
@@ -337,23 +337,30 @@ def test_op7(docs, empty, m):
     for i, (d, _, _) in enumerate(rows):
         if d is not None:
             least[find(i)] = min(d, least.get(find(i), d))
-    got = simhash.near_duplicates(docs, m=m)
+    got = simhash.near_duplicates(docs, segments=segments)
     same(got.selectExpr("doc_id", "fp", "component_id"), [(d, f - (1 << 64) if f >> 63 else f, least.get(find(i))) for i, ((d, _, _), f) in enumerate(zip(rows, fps, strict=True))])
-    if m == 3:
-        kept = simhash.keep_one(docs)
-        assert kept.columns == docs.columns and kept.count() == len({find(i) for i in range(len(rows))})
+    if segments == (3, 1):
+        kept = simhash.keep_one(docs.withColumns({c: F.lit(1) for c in ("__i", "__h", "many", "c", "n", "best", "fp", "root")}))
+        assert kept.columns == [*docs.columns, "__i", "__h", "many", "c", "n", "best", "fp", "root"] and kept.count() == len({find(i) for i in range(len(rows))})
         ids = [r["doc_id"] for r in kept.collect()]
         assert sorted(x for x in ids if x is not None) == sorted(least.values())
         assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
-def test_op7_links(spark):
-    """Random fingerprints and dense groups: no link is lost, at any distance up to 4."""
+@pytest.mark.parametrize("segments", simhash.PLANS)
+def test_op7_links(spark, segments):
+    """Random fingerprints, dense groups and chains: no link is lost, at any distance up to 4, and none is made."""
     r = random.Random(8)
     base = [r.getrandbits(64) for _ in range(60)]
     near = {b ^ sum(1 << i for i in r.sample(range(64), r.randint(0, 7))) for b in base for _ in range(12)} | set(base)
-    signed = [x - (1 << 64) if x >> 63 else x for x in near]
-    out = {x["fp"]: x["root"] for x in simhash.link_fingerprints(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()}
+    dense = r.getrandbits(64)
+    near |= {dense ^ sum(1 << i for i in r.sample(range(64), r.randint(0, 3))) for _ in range(300)}
+    for _ in range(40):  # steps of exactly four bits, spread over the segments
+        near.add(dense := dense ^ sum(1 << i for i in r.sample(range(64), 4)))
+    near = list(near)
+    signed = [simhash._signed(x) for x in near]
+    fps = common.cut(spark.createDataFrame([(x,) for x in signed], "fp long"))
+    out = {x["fp"]: x["root"] for x in simhash.link_fingerprints(fps, segments=segments).collect()}
     group = {x: x for x in near}
 
     def find(x):
@@ -371,6 +378,24 @@ def test_op7_links(spark):
     assert all(len(v) == 1 for v in roots.values()) and len(set.union(*roots.values())) == len(roots)
 
 
+def test_op7_plans():
+    """Pigeonhole: four bits anywhere leave some j of m segments with at most one; the plan follows the number of fingerprints."""
+    r = random.Random(1)
+    for p in simhash.PLANS:
+        assert simhash.radius(*p) == 1
+        for _ in range(3000):
+            x = sum(1 << i for i in r.sample(range(64), 4))
+            assert min((x & m).bit_count() for m in simhash.masks(*p)) <= 1
+    assert [simhash.plan(n) for n in (10, 10**5, 10**8, 10**10, 10**12)] == [(3, 1), (3, 1), (6, 3), (7, 4), (8, 5)]
+
+
+def test_op7_dense_group_is_not_joined_with_itself(spark):
+    """One component of many fingerprints: its buckets are one row each."""
+    fps = common.cut(spark.range(3000).selectExpr("id AS fp"))  # twelve low bits: all within one component
+    roots = simhash.link_fingerprints(fps)
+    assert {x["root"] for x in roots.select("root").distinct().collect()} == {0} and roots.count() == 3000
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102), (5, 5), (200, 100)], "u long, v long")
     out = {r["node"]: r["root"] for r in components.connected_components(edges).collect()}

@@ -5,16 +5,26 @@ each hashed by XXH64 (seed 42); a bit is set if it is set in over half of the
 hashes.  Fingerprints that differ in at most ``MOST`` bits link, and components of
 links are groups.
 
-Links are found between *distinct* fingerprints only.  First, fingerprints one bit
-apart are linked by an equi-join on the whole value, and contracted: a dense group
-of near copies becomes one component there, in rows linear in its size.  Then
-the 64 bits are cut into m segments; two fingerprints within 4 bits agree up to
-floor(4 / m) bits in one segment (pigeonhole), so each fingerprint probes, for
-each segment, the Hamming ball of that radius around its own value and fetches
-table matches; complete distances are verified inside the join and only links
-between different components leave it.  m is 3 (balls of 22 or 23 values) until
-quadratic chance matches of 21-bit segments outweigh the larger balls of m = 2;
-either is exact.  Nothing is capped.
+Links are found between *distinct* fingerprints only, in two steps, each of which ends in
+connected components:
+
+1. Hubs.  The fingerprints that agree in two of four segments of 16 bits are compared
+   with the least and the greatest of them.  That is six rows for each fingerprint, however
+   many agree, and contracts most of a dense group of near copies.
+2. Multi-index hashing.  The 64 bits are cut into m segments, and a table holds each
+   fingerprint under every j of them joined.  Two fingerprints within 4 bits differ by at
+   most one bit in some j segments (pigeonhole; see ``PLANS``), so each fingerprint probes,
+   in each table, the Hamming ball of radius 1 around its own value.  As one of two
+   that differ in a bit has it unset, only unset bits are flipped.  Complete distances are
+   verified inside the join and only links between different components leave it.
+
+   A bucket of one component only is one row of the table, whatever its size; in others
+   the largest component is one row as well, and its members are fetched for the probes
+   of other components that reach it.  So a dense group is never joined with itself.
+
+The plan (m, j) is the one of least rows for the number of fingerprints: more segments
+have more tables, but chance matches fall with the bits of a key, so that rows stay
+near linear.  All plans are exact, and nothing is capped.
 
 Edge cases: null and empty texts, and texts of white space, have no words: their
 fingerprint is zero and links like any other; fewer than four words are one
@@ -33,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, text_of
+from .common import col, cut, discard, fresh, read, text_of
 from .components import connected_components
 
 WORDS = 4
@@ -74,53 +84,87 @@ def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFr
     return chosen.mapInArrow(_fingerprints, f"{fields}, fp long")
 
 
-def segments(m: int) -> list[tuple[int, int]]:
-    """(shift, width) of m segments that cover 64 bits."""
+#: (m, j): with m segments, the j of them with fewest of 4 differing bits have at most one together.
+PLANS = ((3, 1), (5, 2), (6, 3), (7, 4), (8, 5))
+
+
+def masks(m: int, j: int) -> list[int]:
+    """The bits of every j of m segments of 64 bits."""
     ends = [round(64 * i / m) for i in range(m + 1)]
-    return [(a, b - a) for a, b in zip(ends, ends[1:], strict=False)]
+    parts = [(1 << b) - (1 << a) for a, b in zip(ends, ends[1:], strict=False)]
+    return [sum(c) for c in combinations(parts, j)]
+
+
+def radius(m: int, j: int, most: int = MOST) -> int:
+    """The most bits in which the best j of m segments can differ, of ``most`` bits in all."""
+    each, more = divmod(most, m)
+    return each * j + max(0, j - (m - more))
+
+
+def plan(n: int, most: int = MOST) -> tuple[int, int]:
+    """The plan of least rows: those of the tables and probes, and chance matches."""
+    def cost(p: tuple[int, int]) -> float:
+        return sum(n * (2 + m.bit_count() / 2) + n * n * (m.bit_count() / 2 + 1) / 2.0 ** m.bit_count() for m in masks(*p))
 
+    return min((p for p in PLANS if radius(*p, most) <= 1), key=cost)
 
-def ball(width: int, radius: int) -> list[int]:
-    """All masks of at most ``radius`` bits."""
-    return [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(width), r)]
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
-def _flip(segment: int, value: Column):
-    return lambda mask: F.struct(F.lit(segment).alias("s"), value.bitwiseXOR(mask).alias("k"))
 
+def _distance(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
-def link_fingerprints(fps: DataFrame, most: int = MOST, m: int | None = None) -> DataFrame:
-    """(fp, root) for every fingerprint of ``fps`` (distinct ``fp``) that is linked to another."""
-    n = fps.count()
-    if m is None:
-        # Chance matches of a fingerprint with m = 3 against the probes with m = 2.
-        m = 3 if n * 2.6e-5 < 1000 else 2
-    one = fps.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(1 << b if b < 63 else -(1 << 63))) for b in range(64)])).alias("__o")).where("__o > fp")
-    near = one.join(fps.select(F.col("fp").alias("__o")), "__o").select(F.col("fp").alias("u"), F.col("__o").alias("v"))
-    first = cut(connected_components(near), "near")
+
+def _keyed(table: DataFrame, of: list[int]) -> DataFrame:
+    """A row for each mask ``s`` with the fingerprint's bits ``k`` in it."""
+    return table.select("*", F.posexplode(F.lit([_signed(m) for m in of]).cast("array<long>")).alias("s", "k")).withColumn("k", F.col("fp").bitwiseAND(F.col("k")))
+
+
+def _probes(table: DataFrame, of: list[int]) -> DataFrame:
+    """(fp2, root2, s, k): for each mask the key itself and those with one more of its bits set."""
+    ball = [(s, _signed(m), _signed(f)) for s, m in enumerate(of) for f in (0, *(1 << b for b in range(64) if m >> b & 1))]
+    flips = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(m).cast("long").alias("m"), F.lit(f).cast("long").alias("f")) for s, m, f in ball])
+    rows = table.select(F.col("fp").alias("fp2"), F.col("root").alias("root2"), F.inline(flips)).where(F.col("fp2").bitwiseAND(F.col("f")) == 0)
+    return rows.select("fp2", "root2", "s", F.col("fp2").bitwiseAND(F.col("m")).bitwiseOR(F.col("f")).alias("k"))
+
+
+def link_fingerprints(fps: DataFrame, most: int = MOST, segments: tuple[int, int] | None = None) -> DataFrame:
+    """(fp, root) for every fingerprint of ``fps`` (distinct ``fp``, written)."""
+    keyed = _keyed(fps.select("fp"), masks(4, 2))
+    hubs = keyed.groupBy("s", "k").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least != most")
+    near = keyed.join(cut(hubs, "hubs"), ["s", "k"]).select("fp", F.explode(F.array("least", "most")).alias("hub")).where((F.col("fp") != F.col("hub")) & (_distance("fp", "hub") <= most))
+    first = connected_components(near.select(F.col("fp").alias("u"), F.col("hub").alias("v")))
     table = cut(fps.join(first, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root")), "fps")
-    keys, probes = [], []
-    for i, (shift, width) in enumerate(segments(m)):
-        value = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
-        keys.append(F.struct(F.lit(i).alias("s"), value.alias("k")))
-        masks = F.lit(ball(width, most // m)).cast("array<long>")
-        probes.append(F.transform(masks, _flip(i, value)))
-    left = table.select("fp", "root", F.inline(F.array(*keys)))
-    right = table.select(F.col("fp").alias("fp2"), F.col("root").alias("root2"), F.explode(F.concat(*probes)).alias("x")).select("fp2", "root2", F.col("x.s").alias("s2"), F.col("x.k").alias("k2"))
-    found = left.join(right, (F.col("s") == F.col("s2")) & (F.col("k") == F.col("k2")) & (F.col("fp") < F.col("fp2")) & (F.col("root") != F.col("root2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= most))
-    far = found.select(F.col("root").alias("u"), F.col("root2").alias("v"))
-    second = cut(connected_components(far), "far").withColumnRenamed("root", "final")
-    return table.join(second, F.col("root") == F.col("node"), "left").select("fp", F.coalesce("final", "root").alias("root"))
-
-
-def near_duplicates(docs: DataFrame, most: int = MOST, m: int | None = None) -> DataFrame:
+
+    of = masks(*(segments or plan(table.count(), most)))
+    index = _keyed(table, of)
+    groups = index.groupBy("s", "k", "root").agg(F.count(F.lit(1)).alias("c"), F.min("fp").alias("fp"))
+    buckets = cut(groups.groupBy("s", "k").agg(F.max_by(F.struct("root", "c", "fp"), "c").alias("top"), (F.count(F.lit(1)) > 1).alias("mixed")).select("s", "k", "top.*", "mixed"), "buckets")
+    mixed = buckets.where("mixed").select("s", "k", F.col("root").alias("top"))
+    others = index.join(mixed, ["s", "k"]).where(F.col("root") != F.col("top")).select("s", "k", "root", "fp")
+    entries = buckets.select("s", "k", "root", F.when(F.col("c") == 1, F.col("fp")).alias("fp")).unionAll(others)
+    reached = entries.join(_probes(table, of), ["s", "k"]).where((F.col("root") != F.col("root2")) & (F.col("fp").isNull() | (_distance("fp", "fp2") <= most)))
+    reached = cut(reached.select("s", "k", "root", "fp", "root2", "fp2"), "reached")
+    direct = reached.where("fp IS NOT NULL")
+    members = index.select("s", "k", "root", F.col("fp").alias("member"))
+    inside = reached.where("fp IS NULL").drop("fp").join(members, ["s", "k", "root"]).where(_distance("member", "fp2") <= most)
+    far = direct.select("root", "root2").unionAll(inside.select("root", "root2"))
+    second = connected_components(far.select(F.col("root").alias("u"), F.col("root2").alias("v"))).withColumnRenamed("root", "final")
+    out = table.join(second, F.col("root") == F.col("node"), "left").select("fp", F.coalesce("final", "root").alias("root"))
+    discard(buckets, reached)
+    return out
+
+
+def near_duplicates(docs: DataFrame, most: int = MOST, segments: tuple[int, int] | None = None) -> DataFrame:
     """doc_id, fp, component_id: one row for each row of ``docs``."""
     rows = cut(fingerprints(docs), "fingerprints")
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = cut(link_fingerprints(distinct.select("fp"), most, m), "roots")
-    named = distinct.join(roots, "fp")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = named.join(least, "root").select("fp", "component_id")
+    named = cut(distinct.join(link_fingerprints(distinct.select("fp"), most, segments), "fp"), "roots")
+    # Both tables are written: the join is a broadcast where the least ids are few, else of plain shuffles whose skew can be split.
+    least = cut(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    names = cut(named.join(least, "root").select("fp", "component_id"), "names")
     return rows.join(names, "fp")
 
 
@@ -131,17 +175,18 @@ def keep_one(docs: DataFrame, most: int = MOST) -> DataFrame:
     that agree in the text as well, one.  Nulls come last in both.
     """
     names = docs.columns
-    rows = cut(fingerprints(docs.withColumn("__h", F.xxhash64("text")), ("doc_id", "__h")), "fingerprints")
+    i, h, many = fresh(names, "i", "h", "many")
+    rows = cut(fingerprints(docs.select("doc_id", F.xxhash64("text").alias("__h"), "text"), ("doc_id", "__h")), "fingerprints")
     distinct = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("__h"))).alias("best"))
     distinct = cut(distinct, "distinct")
     roots = link_fingerprints(distinct.select("fp"), most)
-    best = distinct.join(roots, "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("__d"), F.col("best.__h").alias("__k"))
-    copies = rows.groupBy("doc_id", "__h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    best = best.alias("b").join(copies.alias("c"), F.expr("b.__d <=> c.doc_id AND b.__k = c.__h"), "left").select("__d", "__k", (F.coalesce("c", F.lit(1)) > 1).alias("__many"))
-    kept = docs.alias("d").join(best, F.expr("d.doc_id <=> __d AND xxhash64(d.text) = __k"))
-    kept = cut(kept.select(*[F.col(f"d.`{c}`") for c in names], "__d", "__k", "__many"), "kept")
-    once = kept.where("__many").dropDuplicates(["__d", "__k"])
-    return kept.where("NOT __many").select(*names).unionAll(once.select(*names))
+    best = distinct.join(roots, "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias(i), F.col("best.__h").alias(h))
+    copies = rows.groupBy(F.col("doc_id").alias("id2"), F.col("__h").alias("h2")).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    best = best.join(copies, F.col(i).eqNullSafe(F.col("id2")) & (F.col(h) == F.col("h2")), "left").select(i, h, (F.coalesce("c", F.lit(1)) > 1).alias(many))
+    kept = docs.join(best, F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(h)))
+    kept = cut(kept.select(*map(col, names), i, h, many), "kept")
+    once = kept.where(F.col(many)).dropDuplicates([i, h])
+    return kept.where(~F.col(many)).select(*map(col, names)).unionAll(once.select(*map(col, names)))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
