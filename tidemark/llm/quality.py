@@ -11,7 +11,8 @@ Everything is built-in JVM expressions; the counts that reach the driver are
 Edge cases: null and empty texts have no words, all counts are zero and base_failed
 is true; ties on the threshold are kept; repeated rows get equal results; an empty
 table gives no rows; very long texts are scored whole; without any label the ratio
-is zero everywhere and the base rules decide; extra columns are ignored.
+is zero everywhere and the base rules decide; extra columns are kept by
+``score_quality``, but for those named like one that it adds, which is put in their place.
 """
 
 from __future__ import annotations
@@ -19,36 +20,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_RE, read, text_of
+from .common import SPACE_RE, WORD_RE, col, fresh, read, text_of, without
 
-BUCKETS = 16384
+BUCKETS = 16384  # a power of two: a bucket is the low bits of a hash
 THRESHOLD = -0.08
 WINDOW = 8
-_SPACES = " \t\n\x0b\x0c\r"
 
 
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE_RE, -1), "")
 
 
-def _grams(h: Column) -> Column:
-    """Bucket numbers of the uni- and bigrams of an array of word hashes (an attribute)."""
-    uni = F.transform(h, lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int"))
-    two = F.transform(F.slice(h, F.lit(2), F.greatest(F.size(h) - 1, F.lit(0))), lambda x, i: F.pmod(F.xxhash64(F.get(h, i), x), F.lit(BUCKETS)).cast("int"))
-    return F.concat(uni, two)
+def _joined(h: Column, step: int) -> Column:
+    """Hashes of h[i] and h[i + step], for all i that have both."""
+    n = F.greatest(F.size(h) - step, F.lit(0))
+    return F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(1 + step), n), lambda x, y: F.xxhash64(x, y))
 
 
-def word_hashes(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__w", words_of(text_of())).withColumn("__h", F.transform("__w", lambda w: F.xxhash64(w)))
+def word_hashes(docs: DataFrame, words: str, one: str, two: str) -> DataFrame:
+    """``docs`` with its words, and the hashes of words and of pairs of neighbouring words."""
+    return docs.withColumn(words, words_of(text_of())).withColumn(one, F.transform(words, lambda w: F.xxhash64(w))).withColumn(two, _joined(F.col(one), 1))
 
 
 def ngram_ratio(docs: DataFrame, labels: DataFrame) -> list[float]:
     """ln(p_target / p_raw) for each bucket."""
     best = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    known = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(best.withColumn("__t", F.lit(1)), "doc_id", "left")  # shuffled where the ids are many
-    marked = known.unionByName(docs.where("doc_id IS NULL").select("doc_id", "text").withColumn("__t", F.lit(None).cast("int")))  # not all in one task
-    grams = word_hashes(marked).select("__t", F.explode(_grams(F.col("__h"))).alias("g"))
-    counts = grams.groupBy("g").agg(F.count(F.lit(1)).alias("raw"), F.count("__t").alias("good")).collect()
+    known = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(best.withColumn("t", F.lit(1)), "doc_id", "left")  # shuffled where the ids are many
+    marked = known.unionByName(docs.where("doc_id IS NULL").select("doc_id", "text").withColumn("t", F.lit(None).cast("int")))  # not all in one task
+    grams = word_hashes(marked, "w", "one", "two").select("t", F.explode(F.concat("one", "two")).alias("g")).select("t", F.col("g").bitwiseAND(F.lit(BUCKETS - 1)).alias("g"))
+    counts = grams.groupBy("g").agg(F.count(F.lit(1)).alias("raw"), F.count("t").alias("good")).collect()
     raw, good = [0] * BUCKETS, [0] * BUCKETS
     for r in counts:
         raw[r["g"]], good[r["g"]] = r["raw"], r["good"]
@@ -60,31 +60,47 @@ def ngram_ratio(docs: DataFrame, labels: DataFrame) -> list[float]:
     return [log((g + 1) / total_good) - log((r + 1) / total_raw) for g, r in zip(good, raw, strict=True)]
 
 
+def _repeated(windows: Column) -> Column:
+    """The number of words that windows with an equal one cover; for documents that have such."""
+    placed = F.sort_array(F.transform(windows, lambda x, i: F.struct(x.alias("v"), i.alias("i"))))
+
+    def places(v: Column) -> Column:
+        same = lambda x, i: F.coalesce(F.get(v, i - 1)["v"] == x["v"], F.lit(False)) | F.coalesce(F.get(v, i + 1)["v"] == x["v"], F.lit(False))
+        return F.sort_array(F.transform(F.filter(v, same), lambda x: x["i"]))
+
+    def covered(p: Column) -> Column:
+        return F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(p, i + 1) - x, F.lit(WINDOW)))), F.lit(0).cast("long"), lambda a, x: a + x)
+
+    # A lambda over a one-element array names a value that is used several times.
+    return F.transform(F.array(F.transform(F.array(placed), places)[0]), covered)[0]
+
+
+OUT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr"]
+
+
 def score_quality(docs: DataFrame, ratio: list[float], threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of ``docs``, the base counts, base_failed, llr and kept. No shuffle."""
+    """All columns of ``docs``, the base counts, base_failed, llr and kept. No shuffle.
+
+    A column of ``docs`` that has the name of an added one is replaced by it.
+    """
     table = F.expr("array(" + ",".join(f"{x!r}D" for x in ratio) + ")")
+    docs = without(docs, *OUT)
+    words, one, two, four, eight, own = fresh(docs.columns, "words", "one", "two", "four", "eight", "own")
     text = text_of()
-    names = docs.columns
-    d = word_hashes(docs)
-    d = d.withColumn("n_words", F.size("__w").cast("long"))
-    d = d.withColumn("word_chars", F.length(F.translate(text, _SPACES, "")).cast("long"))
-    d = d.withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"))
-    d = d.withColumn("__l", F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, _SPACES, "")) > 0))
-    d = d.withColumn("n_dup_lines", (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"))
-    d = d.withColumn("__g", _grams(F.col("__h")))
-    d = d.withColumn("llr", F.aggregate("__g", F.lit(0.0), lambda a, x: a + F.get(table, x)) / F.greatest(F.size("__g"), F.lit(1)))
-    # Windows of 8 words: sort their hashes with their places; equal neighbours are repeats.
-    h = F.col("__h")
-    d = d.withColumn("__v", F.when(F.size(h) >= WINDOW, F.sort_array(F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - WINDOW + 1, F.lit(1))), lambda i: F.struct(F.xxhash64(F.slice(h, i, F.lit(WINDOW))).alias("v"), i.alias("i"))))).otherwise(F.array().cast("array<struct<v:bigint,i:int>>")))
-    v = F.col("__v")
-    same = lambda x, i: F.coalesce(F.get(v, i - 1)["v"] == x["v"], F.lit(False)) | F.coalesce(F.get(v, i + 1)["v"] == x["v"], F.lit(False))
-    d = d.withColumn("__p", F.sort_array(F.transform(F.filter(v, same), lambda x: x["i"])))
-    p = F.col("__p")
-    covered = F.transform(p, lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(p, i + 1) - x, F.lit(WINDOW))))
-    d = d.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x))
+    d = word_hashes(docs, words, one, two)
+    d = d.withColumn("n_words", F.size(words).cast("long"))
+    d = d.withColumn("word_chars", F.length(F.array_join(words, "")).cast("long"))
+    d = d.withColumn("n_symbols", F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"))
+    d = d.withColumn(own, F.filter(F.split(text, "\n", -1), lambda x: F.rlike(x, F.lit(WORD_RE))))
+    d = d.withColumn("n_dup_lines", (F.size(own) - F.size(F.array_distinct(own))).cast("long"))
+    score = lambda a, x: a + F.get(table, x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+    d = d.withColumn("llr", F.aggregate(two, F.aggregate(one, F.lit(0.0), score), score) / F.greatest(F.size(one) + F.size(two), F.lit(1)))
+    # Windows of 8 words by doubling; their places are sorted only where two are equal.
+    d = d.withColumn(four, _joined(F.col(two), 2)).withColumn(eight, _joined(F.col(four), 4))
+    d = d.withColumn("n_repeat_words", F.when(F.size(eight) > F.size(F.array_distinct(eight)), _repeated(F.col(eight))).otherwise(F.lit(0).cast("long")))
     d = d.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     d = d.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
-    return d.select(*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+    return d.select(*map(col, docs.columns), *OUT)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
