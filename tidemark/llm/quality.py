@@ -25,6 +25,7 @@ from .common import SPACE_RE, WORD_RE, col, fresh, read, text_of, without
 BUCKETS = 16384  # a power of two: a bucket is the low bits of a hash
 THRESHOLD = -0.08
 WINDOW = 8
+BROADCAST_IDS = 500_000
 
 
 def words_of(text: Column) -> Column:
@@ -44,8 +45,10 @@ def word_hashes(docs: DataFrame, words: str, one: str, two: str) -> DataFrame:
 
 def ngram_ratio(docs: DataFrame, labels: DataFrame) -> list[float]:
     """ln(p_target / p_raw) for each bucket."""
-    best = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    known = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(best.withColumn("t", F.lit(1)), "doc_id", "left")  # shuffled where the ids are many
+    best = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().withColumn("t", F.lit(1))
+    # Broadcast up to a number of ids; beyond it texts are shuffled once by id.
+    best = F.broadcast(best) if best.count() <= BROADCAST_IDS else best.hint("merge")
+    known = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(best, "doc_id", "left")
     marked = known.unionByName(docs.where("doc_id IS NULL").select("doc_id", "text").withColumn("t", F.lit(None).cast("int")))  # not all in one task
     grams = word_hashes(marked, "w", "one", "two").select("t", F.explode(F.concat("one", "two")).alias("g")).select("t", F.col("g").bitwiseAND(F.lit(BUCKETS - 1)).alias("g"))
     counts = grams.groupBy("g").agg(F.count(F.lit(1)).alias("raw"), F.count("t").alias("good")).collect()
