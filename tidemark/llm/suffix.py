@@ -54,6 +54,7 @@ from .flat import flat, slices
 LENGTH, MARK, RUN = 200, 48, 256
 GROUP = 1500
 TASK_BYTES = 2 << 20
+SLICE = 1 << 19  # bytes whose hashes are held at a time
 PLACES = 19
 CORE = MARK + PLACES * ((LENGTH - MARK) // PLACES - 1)
 _STEP = 8
@@ -90,12 +91,12 @@ def _minima(h: np.ndarray, w: int) -> np.ndarray:
 
 def contexts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """(mark, row, first window, last window, whether it may repeat in itself) in places of ``data``, by slices of it."""
-    for a, z in slices(offsets, 1 << 20):
+    for a, z in slices(offsets, SLICE):
         lo, end = int(offsets[a]), int(offsets[z])
         at = lo
         # A row longer than a slice is read on with an overlap; runs are cut at the same places of a row by RUN.
         while end - at >= LENGTH:
-            stop = min(end, at + (2 << 20)) if z - a == 1 else end
+            stop = min(end, at + SLICE) if z - a == 1 else end
             h = _rolling(data[at:stop], MARK)
             m = _minima(h, LENGTH - MARK + 1)
             row = np.searchsorted(offsets, np.arange(at, at + len(m)), "right") - 1 if z - a > 1 else np.full(len(m), a)
