@@ -157,6 +157,99 @@ def test_workspace_and_artifact(spark, tmp_path):
     assert len(reader.reads) == 2 and streamed.select("t") == prod.select("t") and len(reader.reads) > 2
 
 
+def test_indexes(spark, tmp_path):
+    """Several indexes on a table: lookups read by id, whatever was written since; a cache that keeps what is read twice."""
+    db = Database.dev(spark, f"file://{tmp_path}/w")
+    db.query("CREATE TABLE t (k, v, w)")
+    db.insert_frame("t", spark.range(5000).selectExpr("id AS k", "concat('v', id % 100) AS v", "id % 7 AS w"))
+    db.create_index("t", "k")
+    db.create_index("t", "v")
+    db.query("INSERT INTO t VALUES (77, 'late', 1)")
+    mark = db.clock
+    db.query("DELETE FROM t WHERE k = 4999")
+    for sql, want in (("k = 77", [(77, "v77"), (77, "late")]), ("v = 'late'", [(77, "late")]), ("k >= 4998", [(4998, "v98")]), ("k BETWEEN 10 AND 12 AND w > 3", [(11, "v11"), (12, "v12")]), ("k IN (1, 2, 9999)", [(1, "v1"), (2, "v2")]), ("k = NULL", []), ("k = 4999", [])):
+        assert db.query(f"SELECT k, v FROM t WHERE {sql}").rows() == want
+        table, where = db.table("t"), db.query  # noqa: F841
+    assert db.query(f"SELECT k FROM t WHERE k = 4999 BEFORE {mark}").rows() == [(4999,)]
+    plan = db.query("SELECT v FROM t WHERE k = 77").df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "_row_id" in plan.split("PushedFilters", 1)[1].split("\n")[0]
+    index = db.index("t", "v")
+    assert len(index) == 5000 and index.distinct_keys() == 100 and index.lookup("v5").count() == 50 and index.range("v97", "v98").count() == 100
+    assert [r[0] for r in index.ordered_addresses(True).limit(2).collect()] == [100, 200] and index.pairs().first()["value"] == "v0"
+    db.close()
+    again = Database.dev(spark, f"file://{tmp_path}/w")
+    assert again.query("SELECT w FROM t WHERE k = 8").rows() == [(1,)] and len(again.index("t", "k")) == 5000
+    with pytest.raises(SchemaError):
+        again.index("t", "w")
+
+
+def test_cache(spark, tmp_path):
+    db = Database.dev(spark, f"file://{tmp_path}/w")
+    for t in "ab":
+        db.query(f"CREATE TABLE {t} (k)")
+        db.insert_frame(t, spark.range(20_000).selectExpr("id AS k"))
+    assert db.cache_resident() == 0 and db.row_count("a") == 20_000 and db.cache_resident() == 0
+    assert db.row_count("a") == 20_000 and 0 < (kept := db.cache_resident()) <= db.cache_capacity
+    db.query("INSERT INTO a VALUES (5)")
+    assert db.row_count("a") == 20_001  # another set of segments: what was kept goes
+    db.set_cache_capacity(kept)
+    for _ in range(2):
+        db.row_count("b")
+    assert db.cache_resident() <= kept and list(db._cached) == ["b"]
+    db.set_cache_capacity(0)
+    assert db.cache_resident() == 0 and db.row_count("b") == 20_000 and db.row_count("b") == 20_000 and db.cache_resident() == 0
+
+
+def test_streamed_columns_and_row_groups(spark, tmp_path):
+    """A streamed query reads chunks of its columns, and no row group that its condition rules out."""
+    from tidemark.streaming.ranges import BytesReader
+
+    db = Database.dev(spark, f"file://{tmp_path}/w")
+    db.query("CREATE TABLE t (k, v)")
+    spark.conf.set("parquet.block.size", 1 << 16)
+    try:
+        spark.sparkContext._jsc.hadoopConfiguration().set("parquet.block.size", str(1 << 18))
+        db.insert_frame("t", spark.range(60_000).selectExpr("id AS k", "repeat(md5(cast(id AS string)), 4) AS v"))
+    finally:
+        spark.conf.unset("parquet.block.size")
+        spark.sparkContext._jsc.hadoopConfiguration().unset("parquet.block.size")
+    db.query("DELETE FROM t WHERE k = 3")
+    data = db.bake_to_bytes()
+    read = lambda r: sum(n for _, n in r.reads)
+    one, all_ = BytesReader(data), BytesReader(data)
+    streamed = Database.streamed(spark, one, len(data))
+    assert streamed.query("SELECT COUNT(k) AS n, MAX(k) AS m FROM t").rows() == [(59_999, 59_999)]
+    assert len(Database.streamed(spark, all_, len(data)).select("t")) == 59_999 and read(one) < read(all_) / 3
+    few = BytesReader(data)
+    streamed = Database.streamed(spark, few, len(data))
+    assert streamed.query("SELECT k FROM t WHERE k BETWEEN 30 AND 32").rows() == [(30,), (31,), (32,)]
+    assert streamed.groups_skipped > 0 and streamed.groups_read < streamed.groups_skipped
+    seen = len(few.reads)
+    assert streamed.query("SELECT k FROM t WHERE k BETWEEN 30 AND 32").rows() == [(30,), (31,), (32,)]
+    assert read(few) < len(data) and len(few.reads) >= seen
+
+
+def test_rows_are_ordered_where_they_are_read(spark):
+    db = make(spark, ["a"], [(3,), (1,), (2,)])
+    result = db.query("SELECT a FROM t")
+    assert result.rows() == [(3,), (1,), (2,)] and "Sort" not in result.df._jdf.queryExecution().toString()
+
+
+def test_transpose(spark):
+    from tidemark.functions.codecs import delta_z, transpose, undelta_z, untranspose
+
+    rows = [(i, None if i % 5 == 0 else i * i - 9, f"s{i % 3}", f"x{i}é", bytes([i % 256]) * (i % 4)) for i in range(700)]
+    df = spark.createDataFrame(rows, "a long, b int, c string, d string, e binary")
+    blocks = transpose(df, "a", 64)
+    codecs = {(r["name"], r["codec"]) for r in blocks.collect()}
+    assert {("a", "delta_z"), ("b", "raw"), ("c", "dictionary"), ("d", "dictionary"), ("e", "raw")} == codecs
+    assert sorted((*r[:4], bytes(r[4])) for r in untranspose(blocks, "a long, b int, c string, d string, e binary").collect()) == rows
+    with pytest.raises(ValueError):
+        transpose(spark.createDataFrame([(D(1),)], "a decimal(38,6)"), "a")
+    back = undelta_z(delta_z(df.select("a"), "a", "a"), "a")
+    assert sorted(r["value"] for r in back.collect()) == list(range(700))
+
+
 def test_corruption(spark):
     data = make(spark, ["a"], [(1,)]).bake_to_bytes()
     with pytest.raises(SignatureMismatchError):
@@ -259,9 +352,21 @@ def test_bytes_functions_and_policy(spark):
 
     db = Database.memory(spark)
     assert db.run_wasm_scalar(SUM_BYTES, "sum", bytes([1, 2, 3, 4, 10])) == 20 and db.run_wasm_apply(INC_BYTES, "inc", bytes([0, 9, 254])) == bytes([1, 10, 255])
-    for bad in (b"", SUM_BYTES[:30], assemble("sum", 0, b"\x00"), assemble("sum", 0, b"\x03\x40\x0c\x00\x0b\x41\x00"), assemble("sum", 0, b"\x20\x00\x41\x00\x6d")):
+    for bad in (b"", SUM_BYTES[:30], assemble("sum", 0, b"\x00"), assemble("sum", 0, b"\x20\x00\x41\x00\x6d")):
         with pytest.raises(WasmError):
             Instance(bad).scalar("sum", b"ab")
+    with pytest.raises(WasmError):  # without fuel this loop would have no end
+        Instance(assemble("sum", 0, b"\x03\x40\x0c\x00\x0b\x41\x00"), fuel=10_000).scalar("sum", b"ab")
+    assert Instance(SUM_BYTES, fuel=10_000).scalar("sum", b"ab") == 195
+
+    class Double:
+        def __init__(self, module):
+            pass
+
+        def scalar(self, name, data):
+            return 2 * len(data)
+
+    assert db.run_wasm_scalar(b"", "x", b"abc", backend=Double) == 6
     with pytest.raises(WasmError):
         Instance(SUM_BYTES).scalar("nope", b"")
     db.assert_compliance(50_000, 10_000.0)

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import time
+from collections import OrderedDict
 from collections.abc import Callable, Sequence
 from decimal import Decimal
 
@@ -20,12 +19,14 @@ from tidemark.plans.lexer import I64
 from tidemark.plans.parser import parse
 from tidemark.policy import assert_compliance
 from tidemark.result import QueryResult
-from tidemark.sources.files import Files
+from tidemark.sources.files import Files, scratch
+from tidemark.sources.indexes import Index, narrowed
 from tidemark.sources.versions import Table
 
 FORMAT = 1
 #: Rows gathered on the driver before they become a segment, and the most that an UPDATE collects.
 MEMTABLE = 50_000
+PAGE = 4096
 
 
 class Database:
@@ -36,14 +37,15 @@ class Database:
         self.files, self.tables, self.views = Files(spark), {}, {}
         self._writable, self.clock, self.commits = writable, 0, 0
         self.autocommit, self.durability, self.stable_order, self.cache_capacity = True, "fast", True, 4096
-        self._cached: dict[str, DataFrame] = {}
+        #: Tables read twice: their segments in Spark's storage memory, the least lately read first.
+        self._cached: OrderedDict[str, tuple[tuple[str, ...], DataFrame, int]] = OrderedDict()
+        self._read_once: dict[str, tuple[str, ...]] = {}
 
     # -- opening
     @classmethod
     def memory(cls, spark: SparkSession) -> Database:
         """A database whose segments, if any, live in a scratch folder of this application."""
-        top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-db-")
-        return cls(spark, f"{top.rstrip('/')}/db-{time.time_ns()}")
+        return cls(spark, scratch(spark, "db"))
 
     @classmethod
     def dev(cls, spark: SparkSession, path: str) -> Database:
@@ -84,14 +86,18 @@ class Database:
             here = lambda p: p if "://" in p or p.startswith("/") else f"{self.root}/{p}"
             self.tables = {}
             for t in found["tables"]:
-                t = t | {"segments": [here(p) for p in t["segments"]], "deletions": [here(p) for p in t["deletions"]]}
+                indexed = {c: {here(s): here(p) for s, p in folders.items()} for c, folders in t.get("indexed", {}).items()}
+                t = t | {"segments": [here(p) for p in t["segments"]], "deletions": [here(p) for p in t["deletions"]], "indexed": indexed}
                 self.tables[t["name"]] = Table(**t)
         except (KeyError, TypeError, ValueError) as e:
             raise ManifestError(f"the catalog can't be read: {e}") from e
 
     def manifest(self) -> bytes:
         strip = lambda p: p.removeprefix(f"{self.root}/")
-        tables = [t.manifest() | {"segments": [strip(p) for p in t.segments], "deletions": [strip(p) for p in t.deletions]} for t in self.tables.values()]
+        tables = [
+            t.manifest() | {"segments": [strip(p) for p in t.segments], "deletions": [strip(p) for p in t.deletions], "indexed": {c: {strip(s): strip(p) for s, p in folders.items()} for c, folders in t.indexed.items()}}
+            for t in self.tables.values()
+        ]
         return json.dumps({"version": FORMAT, "clock": self.clock, "commits": self.commits, "tables": tables}).encode()
 
     # -- commits
@@ -123,16 +129,43 @@ class Database:
         self.durability = level
 
     def set_cache_capacity(self, pages: int) -> None:
-        """A hint: tables are cached by Spark's storage memory with ``persist``."""
+        """So many pages of ``PAGE`` stored bytes are kept in Spark's storage memory; 0 keeps none."""
         self.cache_capacity = pages
+        self._evict(0)
 
     def cache_resident(self) -> int:
-        return len(self._cached)
+        """The pages of all tables that are kept now."""
+        return sum(pages for _, _, pages in self._cached.values())
+
+    def _evict(self, more: int) -> None:
+        while self._cached and self.cache_resident() + more > self.cache_capacity:
+            self._cached.popitem(last=False)[1][1].unpersist()
+
+    def _from_cache(self, t: Table) -> DataFrame | None:
+        """The versions of a table whose segments are kept: those of tables read before that fit."""
+        key = tuple(t.segments)
+        if t.name in self._cached:
+            if self._cached[t.name][0] == key:
+                self._cached.move_to_end(t.name)
+                stored = self._cached[t.name][1]
+                return stored.unionAll(t.local(self.spark)) if t.rows else stored
+            self._cached.pop(t.name)[1].unpersist()
+        if not key or self._read_once.get(t.name) != key:
+            self._read_once[t.name] = key
+            return None
+        pages = -(-sum(map(self.files.size, key)) // PAGE)
+        if pages > self.cache_capacity:
+            return None
+        self._evict(pages)
+        stored = self.spark.read.schema(t.schema()).parquet(*key).persist()
+        self._cached[t.name] = (key, stored, pages)
+        return stored.unionAll(t.local(self.spark)) if t.rows else stored
 
     def compact(self, table: str) -> None:
         self._check_writable()
         t = self.table(table)
         t.compact(self.spark, f"{self.root}/{self._folder(table)}")
+        self._build_indexes(t)
         if self.persistent:
             self.flush_now()
 
@@ -146,10 +179,13 @@ class Database:
         """A typed DataFrame, or a Parquet path, as a read-only table."""
         self.views[name] = external(self.spark.read.parquet(source) if isinstance(source, str) else source)
 
-    def relation(self, name: str, before: int | None = None) -> Relation:
+    def relation(self, name: str, before: int | None = None, statement: ast.Select | None = None) -> Relation:
+        """The table at ``before``; for a statement, of the versions that it can need."""
         if name in self.views:
             return self.views[name]
-        return self.table(name).snapshot(self.spark, before)
+        t = self.table(name)
+        versions = narrowed(self.spark, t, statement.where) if statement is not None else None
+        return t.snapshot(self.spark, before, versions if versions is not None else self._from_cache(t))
 
     def table_names(self) -> list[str]:
         return sorted({*self.tables, *self.views})
@@ -176,7 +212,8 @@ class Database:
     def execute(self, statement: ast.Statement) -> QueryResult:
         match statement:
             case ast.Select():
-                return QueryResult(select(self.relation(statement.table, statement.before), statement, self.stable_order))
+                rel = self.relation(statement.table, statement.before, statement)
+                return QueryResult(select(rel, statement, False), ordered=(lambda: select(rel, statement, True)) if self.stable_order else None)
             case ast.CreateTable(table, columns):
                 self.create_table(table, columns)
                 return QueryResult()
@@ -211,8 +248,20 @@ class Database:
         if column not in t.indexes:
             t.indexes.append(column)
         if self._writable:
+            t.indexed.pop(column, None)
+            self._build_indexes(t)
             self._mutated()
 
+    def _build_indexes(self, t: Table) -> None:
+        """Over all versions in segments; what comes in small commits later is scanned until ``compact``."""
+        for column in t.indexes:
+            Index(self.spark, t, column).build(f"{self.root}/{self._folder(t.name)}")
+
+    def index(self, table: str, column: str) -> Index:
+        if column not in self.table(table).indexes:
+            raise SchemaError(f"no index on {column}")
+        return Index(self.spark, self.table(table), column)
+
     def drop_table(self, name: str) -> None:
         self._check_writable()
         self.table(name)
@@ -259,6 +308,7 @@ class Database:
         rel.df.select(F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m"), *cells).write.mode("overwrite").parquet(raw)
         n = self._number(self.spark.read.parquet(raw), "_p", "_m", t, at, cells=[p for own in t.physical() for p in own.values()], first_tx=self.clock + 1)
         self.files.remove(raw)
+        self._build_indexes(t)
         self._mutated()
         return n
 
@@ -269,7 +319,7 @@ class Database:
         n = counts.agg(F.sum("_c")).first()[0] or 0
         place = F.col("_s") + F.row_number().over(Window.partitionBy(part).orderBy(order)) - 1
         rows = df.join(starts.select(part, "_s"), part).withColumn("_k", place)
-        rows.select((F.col("_k") + t.next_row).alias("_row_id"), (F.col("_k") + first_tx).alias("_tx_inserted"), *cells).write.mode("overwrite").parquet(at)
+        rows.select((F.col("_k") + t.next_row).alias("_row_id"), (F.col("_k") + first_tx).alias("_tx_inserted"), *cells).sortWithinPartitions("_row_id").write.mode("overwrite").parquet(at)
         t.segments.append(at)
         t.next_row += n
         self.clock = first_tx + n - 1
@@ -398,7 +448,10 @@ class Database:
         return bake_to_bytes(self)
 
     def bake(self, path: str) -> None:
-        self.files.write(path, self.bake_to_bytes(), self.durability == "sync")
+        """Writes the artifact from stream to stream."""
+        from tidemark.sources.artifact import bake
+
+        bake(self, path)
 
     export = bake_to_bytes
 
@@ -408,20 +461,24 @@ class Database:
         return import_sql(self, dump)
 
     # -- byte functions and policy
-    def run_wasm_scalar(self, module: bytes, function: str, data: bytes) -> int:
+    def run_wasm_scalar(self, module: bytes, function: str, data: bytes, backend=None) -> int:
+        """``backend`` makes a runner of a module; the interpreter is the default."""
         from tidemark.functions.wasm import Instance
 
-        return Instance(module).scalar(function, data)
+        return (backend or Instance)(module).scalar(function, data)
 
-    def run_wasm_apply(self, module: bytes, function: str, data: bytes) -> bytes:
+    def run_wasm_apply(self, module: bytes, function: str, data: bytes, backend=None) -> bytes:
         from tidemark.functions.wasm import Instance
 
-        return Instance(module).apply(function, data)
+        return (backend or Instance)(module).apply(function, data)
 
     def assert_compliance(self, users: int, revenue: float, has_key: bool = False) -> None:
         assert_compliance(users, revenue, has_key)
 
     def close(self) -> None:
+        for _, stored, _ in self._cached.values():
+            stored.unpersist()
+        self._cached.clear()
         if self._writable and self.persistent:
             self.flush_now()
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from decimal import Decimal
 
@@ -28,6 +28,8 @@ class QueryResult:
 
     relation: Relation | None = None
     mutated: int | None = None
+    #: Makes the relation in insertion order, for readers of rows; ``df`` has no order but that of ORDER BY.
+    ordered: Callable[[], Relation] | None = None
 
     @property
     def kind(self) -> str:
@@ -50,13 +52,14 @@ class QueryResult:
 
     def iterate(self) -> Iterator[tuple]:
         """Rows one partition at a time: the driver never holds the whole result."""
+        found = self.ordered() if self.ordered is not None else self.relation
         places, at = [], 0
-        for own in self.relation.physical:
+        for own in found.physical:
             places.append(range(at, at + len(own)))
             at += len(own)
-        columns = [p for own in self.relation.physical for p in own.values()]
+        columns = [p for own in found.physical for p in own.values()]
         try:
-            for row in self.relation.df.select(*columns).toLocalIterator():
+            for row in found.df.select(*columns).toLocalIterator():
                 yield tuple(next((bytes(row[i]) if isinstance(row[i], bytearray) else row[i] for i in own if row[i] is not None), None) for own in places)
         except TidemarkError:
             raise

@@ -27,6 +27,8 @@ class Table:
     columns: list[str]
     kinds: list[list[str]] = field(default_factory=list)
     indexes: list[str] = field(default_factory=list)
+    #: For each indexed column, the index folder of each segment.
+    indexed: dict[str, dict[str, str]] = field(default_factory=dict)
     segments: list[str] = field(default_factory=list)
     deletions: list[str] = field(default_factory=list)
     n_deleted: int = 0
@@ -39,7 +41,7 @@ class Table:
 
     # -- catalog form
     def manifest(self) -> dict:
-        return {"name": self.name, "columns": self.columns, "kinds": self.kinds, "indexes": self.indexes, "segments": self.segments, "deletions": self.deletions, "n_deleted": self.n_deleted, "next_row": self.next_row}
+        return {"name": self.name, "columns": self.columns, "kinds": self.kinds, "indexes": self.indexes, "indexed": self.indexed, "segments": self.segments, "deletions": self.deletions, "n_deleted": self.n_deleted, "next_row": self.next_row}
 
     def see(self, values: tuple[ast.Value, ...]) -> None:
         for kinds, v in zip(self.kinds, values, strict=True):
@@ -72,8 +74,9 @@ class Table:
         local = spark.createDataFrame(self.gone, schema) if self.gone else None
         return stored.unionAll(local) if stored is not None and local is not None else stored if stored is not None else local
 
-    def snapshot(self, spark: SparkSession, tx: int | None) -> Relation:
-        df, gone = self.versions(spark), self.deleted(spark)
+    def snapshot(self, spark: SparkSession, tx: int | None, versions: DataFrame | None = None) -> Relation:
+        """What is visible at ``tx``, of all versions or of those given."""
+        df, gone = self.versions(spark) if versions is None else versions, self.deleted(spark)
         if tx is not None:
             df = df.where(F.col("_tx_inserted") <= tx)
             gone = gone.where(F.col("_tx_deleted") <= tx) if gone is not None else None
@@ -104,13 +107,9 @@ class Table:
         df = self.versions(spark)
         index = next((i for i, c in enumerate(self.columns) if c in self.indexes), None)
         at = f"{path}/data/compacted-{self.next_row}-{len(self.segments)}"
-        if index is not None:
-            by = [F.col(p) for p in self.physical()[index].values()]
-            df = df.repartitionByRange(*by).sortWithinPartitions(*by)
-            writer = df.write.mode("overwrite")
-            for p in self.physical()[index].values():
-                writer = writer.option(f"parquet.bloom.filter.enabled#{p}", "true")
-        else:
-            writer = df.write.mode("overwrite")
+        by = [F.col(p) for p in self.physical()[index].values()] if index is not None else [F.col("_row_id")]
+        writer = df.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite")
+        for p in [*self.physical()[index].values(), "_row_id"] if index is not None else []:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{p}", "true")
         writer.parquet(at)
-        self.segments, self.rows = [at], []
+        self.segments, self.rows, self.indexed = [at], [], {}
