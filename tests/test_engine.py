@@ -347,6 +347,14 @@ def test_server_and_prompt(spark):
     assert answer(db, ".tables") == "t" and answer(db, ".exit") is None and "(1 rows)" in answer(db, "SELECT a FROM t") and answer(db, "x").startswith("error")
 
 
+def test_server_cancels_what_is_late(spark):
+    from tidemark.server import Engine
+
+    engine = Engine(make(spark, ["a"], [(1,)]))
+    assert engine.ask(lambda d: d.spark.range(10**13).selectExpr("sum(id % 7 * (id % 11))").collect(), timeout=3)[0] == 504
+    assert engine.ask(lambda d: str(d.row_count("t")), timeout=20) == (200, "1")
+
+
 def test_bytes_functions_and_policy(spark):
     from tidemark.functions.wasm import INC_BYTES, SUM_BYTES, Instance, assemble
 

@@ -4,11 +4,15 @@ import __spark_entry__ as entry
 from tidemark import catalogue
 
 
+def test_all_queries_have_sql():
+    assert catalogue.QUERIES.keys() == catalogue.ORACLES.keys()
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["pricing_summary", "update_replay", "time_travel_asof_mid", "distinct_order_hidden_limit", "streamed_open", "insert_frame"])
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_oracle(spark, name):
     import duckdb
 

@@ -22,6 +22,7 @@ _VIEWS = {
     "orders": "SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(38,6)) AS o_totalprice, epoch_us(o_orderdate) AS o_orderdate, o_orderpriority FROM orders",
     "part": "SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, CAST(p_retailprice AS DECIMAL(38,6)) AS p_retailprice FROM part",
     "partn": "SELECT p_partkey, p_name, p_brand, p_type, CAST(NULLIF(p_size, 5) AS BIGINT) AS p_size, CAST(p_retailprice AS DECIMAL(38,6)) AS p_retailprice FROM part",
+    "partb": "SELECT p_partkey, replace(p_name, ' ', chr(92)) AS p_name FROM part",
     "customer": "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, CAST(c_acctbal AS DECIMAL(38,6)) AS c_acctbal, c_mktsegment FROM customer",
     "nation": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation",
     "region": "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region",
@@ -29,12 +30,13 @@ _VIEWS = {
 
 
 def open_tables(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = tuple(TABLES)) -> Database:
-    """The tables as read-only external ones; ``partn`` is part with sizes of 5 as null."""
+    """The tables as read-only external ones; ``partn`` is part with sizes of 5 as null, ``partb`` has backslashes in its names."""
     db = Database.memory(spark)
     for name in names:
         db.register(name, f"{sf_dir}/{name}.parquet")
     if "part" in names:
         db.register("partn", spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("p_size", F.expr("nullif(p_size, 5)")))
+        db.register("partb", spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.translate("p_name", " ", "\\").alias("p_name")))
     return db
 
 
@@ -57,9 +59,9 @@ _same("filter_fraction_of_int", "SELECT p_partkey FROM partn WHERE p_size > 24.5
 _same("filter_cross_kind", "SELECT n_nationkey FROM nation WHERE n_name > 5 AND n_nationkey < 'a'", "SELECT n_nationkey FROM nation")
 _same("filter_bool_prec", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R' OR l_linestatus = 'O' AND l_quantity > 40")
 _same("filter_parens", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_returnflag = 'R' OR l_linestatus = 'O') AND l_quantity > 40")
-_same("filter_like", "SELECT p_partkey FROM part WHERE p_name LIKE '%a%_1%'")
+_same("filter_like", "SELECT p_partkey FROM part WHERE p_name LIKE '%e% b_lt'")
 _same("filter_not_like", "SELECT p_partkey FROM part WHERE p_type NOT LIKE 'S%'")
-_same("filter_like_backslash", "SELECT p_partkey FROM part WHERE p_name NOT LIKE 'a\\b%'")
+_same("filter_like_backslash", "SELECT p_partkey FROM partb WHERE p_name LIKE '%d\\_olt'")
 _same("filter_in", "SELECT p_partkey FROM partn WHERE p_size IN (1, 7, NULL, 9)", "SELECT p_partkey FROM partn WHERE p_size IN (1, 7, 9)")
 _same("filter_not_in", "SELECT p_partkey FROM partn WHERE p_size NOT IN (1, 7, 9)")
 _same("filter_not_in_null", "SELECT p_partkey FROM partn WHERE p_size NOT IN (1, NULL)", "SELECT p_partkey FROM partn WHERE false")
@@ -106,7 +108,7 @@ _same("pricing_summary", "SELECT l_returnflag, l_linestatus, SUM(l_quantity) AS
 def _dialect(sql: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         table = sql.split(" FROM ", 1)[1].split()[0]
-        return open_tables(spark, sf_dir, ("part" if table == "partn" else table,)).query(sql).df
+        return open_tables(spark, sf_dir, ("part" if table in ("partn", "partb") else table,)).query(sql).df
 
     return run
 
@@ -114,7 +116,7 @@ def _dialect(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 def _oracle(sql: str) -> str:
     """The views come before; ``WITH`` names shadow the tables they read."""
     used = [v for v in _VIEWS if f" {v}" in sql or f"{v}." in sql]
-    return "WITH " + ", ".join(f"{v} AS MATERIALIZED ({_VIEWS[v].replace(f'FROM {v}', f'FROM main.{v}')})" for v in used) + " " + sql
+    return "WITH " + ", ".join(f"{v} AS MATERIALIZED ({_VIEWS[v].replace(f'FROM {v}', f'FROM main.{v}').replace('FROM part', 'FROM main.part')})" for v in used) + " " + sql
 
 
 # -- versions: every event of a user replaces the one before
@@ -141,14 +143,14 @@ def event_table(spark: SparkSession, sf_dir: str) -> Database:
 def _as_of(tx: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         db = event_table(spark, sf_dir)
-        at = {"0": 0, "mid": 500, "latest": db.clock, "beyond": db.clock + 1000}[tx]
+        at = {"0": 0, "mid": 500, "half": db.clock // 2, "latest": db.clock, "beyond": db.clock + 1000}[tx]
         return db.query(f"SELECT event_id, user_id, event_type FROM events BEFORE {at}").df
 
     return run
 
 
 def _as_of_sql(tx: str) -> str:
-    at = {"0": "0", "mid": "500", "latest": "(SELECT max(event_id) + 1 FROM events)", "beyond": "(SELECT max(event_id) + 1001 FROM events)"}[tx]
+    at = {"0": "0", "mid": "500", "half": "(SELECT (max(event_id) + 1) // 2 FROM events)", "latest": "(SELECT max(event_id) + 1 FROM events)", "beyond": "(SELECT max(event_id) + 1001 FROM events)"}[tx]
     return f"SELECT event_id, user_id, event_type FROM ({_EVENT_VERSIONS}) WHERE tx_ins <= {at} AND (tx_del IS NULL OR tx_del > {at})"
 
 
@@ -252,7 +254,7 @@ def wasm_apply_inc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NATION = "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, CAST(n_regionkey AS BIGINT) AS region FROM nation"
 _OTHER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
-    **{f"time_travel_asof_{k}": (_as_of(k), _as_of_sql(k)) for k in ("0", "mid", "latest", "beyond")},
+    **{f"time_travel_asof_{k}": (_as_of(k), _as_of_sql(k)) for k in ("0", "mid", "half", "latest", "beyond")},
     "version_counts": (version_counts, f"SELECT event_type, count(*) AS n FROM ({_EVENT_VERSIONS}) WHERE tx_ins <= 700 AND (tx_del IS NULL OR tx_del > 700) GROUP BY event_type"),
     "update_replay": (update_replay, f"SELECT id, CASE WHEN region = 2 THEN 'moved' ELSE name END AS name, CASE WHEN id BETWEEN 3 AND 6 THEN CAST(9 AS BIGINT) ELSE region END AS region FROM ({_NATION})"),
     "delete_replay": (delete_replay, f"SELECT * FROM ({_NATION}) WHERE NOT (region = 1 OR name LIKE 'A%')"),
@@ -268,8 +270,11 @@ _OTHER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "bits_for_cardinality": (bits_for_cardinality, "SELECT p_partkey, CAST(greatest(1, least(8, CASE WHEN p_partkey <= 1 THEN 0 ELSE ceil(log2(p_partkey)) END)) AS BIGINT) AS bits FROM part"),
     "cas_dedup": (cas_dedup, "SELECT sha256(text) AS sha256, strlen(text) AS n_bytes, count(*) AS copies FROM documents WHERE strlen(text) > 16 GROUP BY ALL"),
     "wasm_scalar_sum_bytes": (wasm_scalar_sum_bytes, "SELECT CAST(n_nationkey AS BIGINT) AS k, CAST(list_sum(list_transform(string_split(n_name, ''), lambda c: ord(c))) AS BIGINT) AS s FROM nation"),
-    "wasm_apply_inc": (wasm_apply_inc, None),
+    "wasm_apply_inc": (wasm_apply_inc, "SELECT CAST(n_nationkey AS BIGINT) AS k, lower(hex(array_to_string(list_transform(string_split(n_name, ''), lambda c: chr(ord(c) + 1)), ''))) AS h FROM nation"),
 }
 
+from tidemark.catalogue_store import STORE  # noqa: E402
+
+_OTHER |= STORE
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _dialect(sql) for k, (sql, _) in _SQL.items()} | {k: f for k, (f, _) in _OTHER.items()}
 ORACLES: dict[str, str] = {k: _oracle(sql) for k, (_, sql) in _SQL.items()} | {k: sql for k, (_, sql) in _OTHER.items() if sql is not None}

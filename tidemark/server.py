@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import queue
 import threading
+import uuid
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from tidemark.database import Database
@@ -15,13 +16,17 @@ MAX_BODY, TIMEOUT = 1 << 20, 30.0
 
 class Engine:
     def __init__(self, db: Database):
-        self.db, self.jobs = db, queue.Queue()
+        self.db, self.jobs, self.late = db, queue.Queue(), set()
         threading.Thread(target=self._run, daemon=True).start()
 
     def _run(self) -> None:
         while True:
-            job, out = self.jobs.get()
+            group, job, out = self.jobs.get()
+            if group in self.late:  # given up before it began
+                self.late.discard(group)
+                continue
             try:
+                self.db.spark.sparkContext.setJobGroup(group, "a request", interruptOnCancel=True)
                 out.put((200, job(self.db)))
             except TidemarkError as e:
                 out.put((400, json.dumps({"error": str(e)})))
@@ -29,11 +34,15 @@ class Engine:
                 out.put((500, json.dumps({"error": f"{type(e).__name__}: {str(e)[:200]}"})))
 
     def ask(self, job, timeout: float = TIMEOUT) -> tuple[int, str]:
+        """The answer of one job; after ``timeout`` its Spark jobs are cancelled, so that the next ones don't wait for them."""
         out: queue.Queue = queue.Queue()
-        self.jobs.put((job, out))
+        group = f"tidemark-{uuid.uuid4().hex}"
+        self.jobs.put((group, job, out))
         try:
             return out.get(timeout=timeout)
         except queue.Empty:
+            self.late.add(group)
+            self.db.spark.sparkContext.cancelJobGroup(group)
             return 504, json.dumps({"error": "timeout"})
 
 
