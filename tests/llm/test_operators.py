@@ -1,6 +1,8 @@
 """Each operator on a small table of edge cases against a brute-force version."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 import time
@@ -123,6 +125,66 @@ def test_op2_spelled_out_words_of_repeated_letters():
     assert "ass" in toxicity.tokens_of("you are such A s s") and "aaa" in toxicity.tokens_of("a a a") and toxicity.tokens_of("a b") == {"a", "b"}
 
 
+def _plain_phi(word):
+    """The subsequences of four characters within six places of a word with a mark before it, normalised, by enumeration."""
+    w = [1, *(toxicity._CODES[ord(c)] for c in word)]
+    phi = Counter()
+    for p in itertools.combinations(range(len(w)), 4):
+        if p[3] - p[0] <= 5:
+            phi[tuple(w[i] for i in p)] += toxicity.DECAY ** (p[3] - p[0] - 3)
+    norm = sum(toxicity.DECAY ** (2 * (p[3] - p[0] - 3)) for p in itertools.combinations(range(len(w)), 4) if p[3] - p[0] <= 5) ** 0.5
+    return {k: v / norm for k, v in phi.items()} if norm else {}
+
+
+def test_op2_kernel_against_enumeration():
+    """Feature map and kernel of words against all their subsequences; gaps and insertions keep most of it."""
+    words = ["idiot", "idxiot", "iidiot", "table", "aaaaaa", "abcdefghij", "été1", "abc"]
+    plain = [_plain_phi(w) for w in words]
+    for i, w in enumerate(words):
+        code_of = lambda k: (((k[0] * 64 + k[1]) * 64 + k[2]) * 64 + k[3]) * 0x9E3779B1 % (1 << 32) >> (32 - toxicity._BITS)
+        want, got = Counter(), Counter()
+        for k, v in plain[i].items():
+            want[code_of(k)] += v
+        for _, codes, weights in toxicity.features([w]):
+            for c, v in zip(codes[0].tolist(), weights.tolist(), strict=True):
+                got[c] += v
+        assert want.keys() == got.keys() and all(abs(want[c] - got[c]) < 1e-5 for c in want)
+    kernel = toxicity._kernel(words, words)
+    for i, j in itertools.product(range(len(words)), repeat=2):
+        dot = sum(v * plain[j].get(k, 0) for k, v in plain[i].items())
+        assert abs(kernel[i, j] - dot) < 0.02  # hashed subsequences may share a slot
+    assert kernel[0, 1] > 0.4 and kernel[0, 2] > 0.5 and kernel[0, 3] < 0.05
+
+
+def test_op2_svm_and_nystrom():
+    """The SVM minimises its objective, and landmarks that are the words themselves give the kernel back."""
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.normal(size=(80, 4)), np.ones((80, 1))], axis=1)
+    y = np.where(x[:, 0] + 0.3 * r.normal(size=80) > 0, 1.0, -1.0)
+    weights = r.uniform(0.5, 2, 80)
+    loss = lambda w: 0.5 * w @ w + 0.5 * (2.0 * weights * np.maximum(0, 1 - y * (x @ w)) ** 2).sum()
+    w = toxicity._svm(x, y, 2.0, weights)
+    assert all(loss(w) <= loss(w + 1e-3 * d) + 1e-9 for d in r.normal(size=(200, 5)))
+    words = ["idiot", "moron", "table", "chairs", "window", "flower"]
+    k = toxicity._kernel(words, words).astype(float)
+    values, vectors = np.linalg.eigh((k + k.T) / 2)
+    mapped = toxicity._kernel(words, words) @ ((vectors / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T)
+    assert np.abs(mapped @ mapped.T - k).max() < 0.02
+
+
+def test_op2_sample_is_bounded_by_rows(spark):
+    """An id that repeats very often is one training text."""
+    docs = spark.range(5000).selectExpr("id % 2 AS doc_id", "concat('text ', id) AS text")
+    labels = spark.createDataFrame([(0, 0, 0), (1, 0, 1)], "doc_id long, quality int, toxic int")
+    seen = []
+    original, toxicity.train = toxicity.train, lambda texts, toxic, base=None: seen.append((texts, toxic)) or toxicity.Model(np.zeros(1, np.float32), 0.0, None, 0.0)
+    try:
+        toxicity.fit(docs, labels)
+    finally:
+        toxicity.train = original
+    assert len(seen[0][0]) <= 2
+
+
 def test_op2_frame(spark, docs, empty):
     labels = spark.createDataFrame([(i, i % 2, int(i % 3 == 0)) for i in range(60)] + [(None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
     out = toxicity.score_toxicity(docs, toxicity.fit(docs, labels))
@@ -174,6 +236,23 @@ def test_op3_removes_short_repeats(spark):
     assert any(0 < x["n_removed"] < 96 for x in later) and sum(x["n_removed"] > 0 for x in later) >= 285
 
 
+def test_op3_cuts_by_a_rolling_hash():
+    """Cuts against a gear hash rolled byte by byte."""
+    r = random.Random(6)
+    for n in (0, 1, 15, 40, 3000):
+        for data in (r.randbytes(n), bytes(n), " ".join("".join(r.choices("abc", k=4)) for _ in range(n // 5)).encode()):
+            h, ends, last = 0, [], 0
+            for i, c in enumerate(data):
+                h = ((h << 1) + int(chunking._GEAR[c])) % (1 << 32)
+                if i + 1 - last == chunking.MOST + 1:
+                    last = i
+                    ends.append(last)
+                if h >> (32 - chunking.MASK_BITS) == 0 and i + 1 - last >= chunking.LEAST:
+                    last = i + 1
+                    ends.append(last)
+            assert chunking.cuts(np.frombuffer(data, np.uint8)) == (ends if last == len(data) else [*ends, len(data)])
+
+
 def test_op3_cuts_resist_shifts():
     b = random.Random(3).randbytes(4000)
 
@@ -221,6 +300,31 @@ def test_op5(docs, empty):
     assert sharding.assign_slots(empty).count() == 0 and sharding.shard_documents(docs).columns == [*docs.columns, "shard"]
 
 
+def test_op5_draws_recomputed(docs):
+    """Shards of both trees by plain code: the least draw at region, rack and shard."""
+    rows = {(r["doc_id"], r["shard"], r["grown_shard"]) for r in sharding.assign_slots(docs, buckets=4).collect()}
+
+    def draw(key, name, weight):
+        seed = xxhash.xxh64_intdigest(key.encode(), 42)
+        u = ((xxhash.xxh64_intdigest(name.encode(), seed) >> 11) + 0.5) * 2.0**-53
+        return -math.log(u) / weight, name
+
+    def pick(key, children):
+        return min(children, key=lambda c: draw(key, c[0], c[1]))[2]
+
+    def shard(key, tree):
+        region = pick(key, [(f"region {r[0][0][0]}", sum(w for rack in r for _, w in rack), r) for r in tree])
+        rack = pick(key, [(f"rack {k[0][0]}", sum(w for _, w in k), k) for k in region])
+        return pick(key, [(f"shard {s}", w, s) for s, w in rack])
+
+    tree = sharding.topology()
+    assert len(tree) == 2 and [len(r) for r in tree] == [3, 3] and sum(len(k) for r in tree for k in r) == 24
+    grown = (*tree, (((24, 1.0),),))
+    for d, s, g in rows:
+        key = "null" if d is None else str(d)
+        assert (s, g) == (shard(key, tree), shard(key, grown))
+
+
 def test_op5_weights(spark):
     tree = ((((0, 1.0), (1, 2.0)),), (((2, 3.0),),))
     ids = spark.range(60_000).select(sharding.shard_of(F.col("id"), tree).alias("s"), sharding.shard_of(F.col("id"), sharding.grow(tree, 2.0)).alias("g"))
@@ -567,6 +671,21 @@ def test_op9_stage_drops_any_full_passage(spark, most):
     assert {x["doc_id"]: (x["n_words"], x["n_hit"], x["contaminated"]) for x in marked.collect()} == {1: (3013, 13, False), 2: (3012, 0, False), 3: (403, 3, False), 4: (13, 3, True), 5: (0, 0, False), 6: (9, 0, False)}
 
 
+def test_op10_ratio_by_hand(spark):
+    rows = [(1, "a b a"), (2, "b c"), (3, None), (None, "a"), (1, "a b a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, 0, 0), (9, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    raw, good = Counter(), Counter()
+    for d, t in rows:
+        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in (t or "").split()]
+        two = [xxhash.xxh64_intdigest(b.to_bytes(8, "little"), xxhash.xxh64_intdigest(a.to_bytes(8, "little"), 42)) for a, b in zip(h, h[1:], strict=False)]
+        for x in (*h, *two):
+            raw[x % quality.BUCKETS] += 1
+            good[x % quality.BUCKETS] += d == 1
+    want = [math.log((good[i] + 1) / (sum(good.values()) + quality.BUCKETS)) - math.log((raw[i] + 1) / (sum(raw.values()) + quality.BUCKETS)) for i in range(quality.BUCKETS)]
+    assert np.allclose(quality.ngram_ratio(docs, labels), want, atol=1e-12)
+
+
 def test_op10(spark, docs, empty):
     labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(50)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
     ratio = quality.ngram_ratio(docs, labels)

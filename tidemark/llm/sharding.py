@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, read, text_of
+from .common import copies, cut, read, text_of, without
 
 Topology = tuple[tuple[tuple[tuple[int, float], ...], ...], ...]
 
@@ -70,8 +70,8 @@ def shard_of(doc_id: Column, tree: Topology) -> Column:
 
 
 def shard_documents(docs: DataFrame, tree: Topology | None = None, doc_id: str = "doc_id") -> DataFrame:
-    """All columns of ``docs`` and ``shard``: a projection, without any shuffle."""
-    return docs.withColumn("shard", shard_of(F.col(doc_id), tree or topology()))
+    """All columns of ``docs`` and ``shard``, which replaces one of that name: a projection, without any shuffle."""
+    return without(docs, "shard").withColumn("shard", shard_of(F.col(doc_id), tree or topology()))
 
 
 def assign_slots(docs: DataFrame, tree: Topology | None = None, buckets: int = 1024) -> DataFrame:
@@ -80,7 +80,8 @@ def assign_slots(docs: DataFrame, tree: Topology | None = None, buckets: int = 1
     A shard's slots are a two-level prefix sum: rows are counted by shard and hash
     bucket (24 * ``buckets`` counts, a fixed number, are broadcast), and numbered
     inside each bucket.  Repeated rows are one row with a count until they are
-    numbered, so a hot key is never sorted in one task.
+    numbered, so a hot key is never sorted in one task, and dealt in pieces when it is
+    told apart again.
     """
     tree = tree or topology()
     digest = docs.select(
@@ -99,11 +100,8 @@ def assign_slots(docs: DataFrame, tree: Topology | None = None, buckets: int = 1
     starts = counts.select("shard", "__b", F.coalesce(F.sum("__c").over(over), F.lit(0)).alias("__start"))
     within = Window.partitionBy("shard", "__b").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("__before", F.coalesce(F.sum("__n").over(within), F.lit(0))).join(F.broadcast(starts), ["shard", "__b"])
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-        F.explode(F.sequence(F.col("__start") + F.col("__before"), F.col("__start") + F.col("__before") + F.col("__n") - 1)).alias("slot"),
-        "grown_shard",
-    )
+    placed = cut(placed.select("doc_id", "size", "text_crc32", "shard", (F.col("__start") + F.col("__before")).alias("__first"), "__n", "grown_shard"), "slots")
+    return copies(placed, "__n", "__i").select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("__first") + F.col("__i")).alias("slot"), "grown_shard")
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -216,14 +216,20 @@ def train(texts: list[str], toxic: list[int], base: float | None = None) -> Mode
     n_pos, n_neg = int(y.sum()), int(len(y) - y.sum())
     # Documents of each label that hold a word, and n-grams of words that toxic documents hold.
     in_pos, in_neg = (np.bincount(np.concatenate([np.zeros(0, np.int32), *(w for t, w in zip(y, words_of, strict=True) if t == k)]), minlength=len(number)) for k in (1, 0))
+    least = max(3, n_pos // 300)
+    # Most n-grams are rare. They are counted by hash first, so that only what can be frequent is held as text.
+    hashed = np.zeros(1 << 22, np.uint16)
+    for i in np.flatnonzero(y):
+        hashed[np.unique(np.fromiter((hash(g) & 0x3FFFFF for w in words_of[i].tolist() for g in _grams(vocabulary[w])), np.int64))] += 1
     pos: dict[str, int] = {}
     for i in np.flatnonzero(y):
-        for g in set().union(*(_grams(vocabulary[w]) for w in words_of[i].tolist())):
+        for g in {g for w in words_of[i].tolist() for g in _grams(vocabulary[w]) if hashed[hash(g) & 0x3FFFFF] >= least}:
             pos[g] = pos.get(g, 0) + 1
-    pos = {g: p for g, p in pos.items() if p >= max(3, n_pos // 300)}
+    del hashed
+    pos = {g: p for g, p in pos.items() if p >= least}
     neg = dict.fromkeys(pos, 0)
     for i in np.flatnonzero(y == 0):
-        for g in set().union(*(_grams(vocabulary[w]) for w in words_of[i].tolist())) & neg.keys():
+        for g in {g for w in words_of[i].tolist() for g in _grams(vocabulary[w]) if g in neg}:
             neg[g] += 1
     odds = {g: np.log((p + 0.5) / (n_pos + 1)) - np.log((neg[g] + 0.5) / (n_neg + 1)) for g, p in pos.items()}
     strong = {g for g, o in odds.items() if o > 1.8}
@@ -315,11 +321,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Train on labelled rows outside the held-out fold."""
     rows = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    # At most MAX_TOXIC + MAX_CLEAN ids are broadcast, and as many texts of at most MAX_TRAIN_BYTES come back.
+    # At most MAX_TOXIC + MAX_CLEAN ids are broadcast, and as many texts of at most MAX_TRAIN_BYTES come back: of rows that share an id, the least text.
     sample = rows.where("toxic = 1").orderBy(*order).limit(MAX_TOXIC).unionAll(rows.where("toxic != 1").orderBy(*order).limit(MAX_CLEAN))
-    found = docs.select("doc_id", "text").where(F.octet_length("text") <= MAX_TRAIN_BYTES).join(F.broadcast(sample), "doc_id")
+    found = docs.select("doc_id", "text").where(F.octet_length("text") <= MAX_TRAIN_BYTES).join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     base = rows.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
-    got = sorted(((r["doc_id"], r["text"], r["toxic"]) for r in found.collect()), key=lambda r: (str(r[0]), r[1]))
+    got = sorted(zip(*(c.to_pylist() for c in found.toArrow().columns), strict=True), key=lambda r: (str(r[0]), r[1]))
     return train([r[1] for r in got], [int(r[2] == 1) for r in got], base)
 
 
