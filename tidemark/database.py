@@ -305,21 +305,29 @@ class Database:
         cells = [F.col(own[k]).alias(p) if k in own else F.lit(None).cast(kind_type(k)).alias(p) for own, phys in zip(rel.physical, t.physical(), strict=True) for k, p in phys.items()]
         at = f"{self.root}/{self._folder(table)}/data/bulk-{t.next_row}-{len(t.segments)}"
         raw = f"{at}-raw"
-        rel.df.select(F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m"), *cells).write.mode("overwrite").parquet(raw)
-        n = self._number(self.spark.read.parquet(raw), "_p", "_m", t, at, cells=[p for own in t.physical() for p in own.values()], first_tx=self.clock + 1)
+        rel.df.select(*cells).write.mode("overwrite").parquet(raw)
+        n = self._number(raw, t, at, cells=[p for own in t.physical() for p in own.values()], first_tx=self.clock + 1)
         self.files.remove(raw)
         self._build_indexes(t)
         self._mutated()
         return n
 
-    def _number(self, df: DataFrame, part: str, order: str, t: Table, at: str, cells: list[str], first_tx: int) -> int:
-        """Write rows with consecutive row ids and transactions: offsets by part, then numbers within it."""
-        counts = df.groupBy(part).agg(F.count(F.lit(1)).alias("_c"))
-        starts = counts.withColumn("_s", F.coalesce(F.sum("_c").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        n = counts.agg(F.sum("_c")).first()[0] or 0
-        place = F.col("_s") + F.row_number().over(Window.partitionBy(part).orderBy(order)) - 1
-        rows = df.join(starts.select(part, "_s"), part).withColumn("_k", place)
-        rows.select((F.col("_k") + t.next_row).alias("_row_id"), (F.col("_k") + first_tx).alias("_tx_inserted"), *cells).sortWithinPartitions("_row_id").write.mode("overwrite").parquet(at)
+    def _number(self, raw: str, t: Table, at: str, cells: list[str], first_tx: int) -> int:
+        """Write the rows of a folder with consecutive row ids and transactions, in the order of its files.
+
+        A row's number is its place in its file and the rows of the files before: no row is
+        shuffled or sorted for it.
+        """
+        df = self.spark.read.parquet(raw).select("*", F.col("_metadata.file_name").alias("_f"), F.col("_metadata.row_index").alias("_i"))
+        counts = df.groupBy("_f").agg(F.count(F.lit(1)).alias("_c"))
+        part = F.regexp_extract("_f", r"part-(\d+)-", 1).cast("long")
+        before = Window.orderBy(part, "_f").rowsBetween(Window.unboundedPreceding, -1)
+        # One row for each file, in one small table.
+        found = [(r["_f"], r["_s"], r["_c"]) for r in counts.withColumn("_s", F.coalesce(F.sum("_c").over(before), F.lit(0))).collect()]
+        n = sum(c for _, _, c in found)
+        starts = self.spark.createDataFrame([(f, s) for f, s, _ in found], "_f string, _s long")
+        rows = df.join(F.broadcast(starts) if len(found) <= 100_000 else starts, "_f").withColumn("_k", F.col("_s") + F.col("_i"))
+        rows.select((F.col("_k") + t.next_row).alias("_row_id"), (F.col("_k") + first_tx).alias("_tx_inserted"), *cells).write.mode("overwrite").parquet(at)
         t.segments.append(at)
         t.next_row += n
         self.clock = first_tx + n - 1
@@ -400,11 +408,11 @@ class Database:
                     cells.append(F.col(old[i][k]).alias(p))
         base = f"{self.root}/{self._folder(t.name)}"
         raw = f"{base}/data/update-{self.clock}-raw"
-        hit.select("_row_id", F.floor(F.col("_row_id") / 1_000_000).alias("_p"), *cells).write.mode("overwrite").parquet(raw)
+        hit.select("_row_id", *cells).orderBy("_row_id").write.mode("overwrite").parquet(raw)
         matched = self.spark.read.parquet(raw)
         deleted, at = self.clock + 1, f"{base}/deletes/update-{self.clock}"
         matched.select("_row_id", F.lit(deleted).cast("long").alias("_tx_deleted")).write.mode("overwrite").parquet(at)
-        n = self._number(matched.withColumnRenamed("_row_id", "_old"), "_p", "_old", t, f"{base}/data/update-{deleted}", names, deleted + 1)
+        n = self._number(raw, t, f"{base}/data/update-{deleted}", names, deleted + 1)
         t.deletions.append(at)
         t.n_deleted += n
         self.files.remove(raw)
