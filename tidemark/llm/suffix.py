@@ -336,7 +336,9 @@ def repeated_spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
     bits.destroy()
     distinct = cut(found.groupBy("v", "c").agg(F.count(F.lit(1)).alias("n"), F.max("inner").alias("inner"), F.any_value("bytes").alias("bytes")), "distinct", "zstd")
     marked = distinct.groupBy("v").agg(F.count(F.lit(1)).alias("nd"), F.sum((F.col("n") == 1).cast("long")).alias("once"), F.max("inner").alias("inner")).where("once > 0 AND (nd > 1 OR inner)")
-    work = cut(distinct.join(marked.select("v", "nd"), "v").select("v", "c", "n", "nd", "bytes"), "work", "zstd")
+    # Written, so that the join with the contexts is a broadcast where marks are few, else of plain shuffles in which a crowded mark can be split.
+    marked = cut(marked.select("v", "nd"), "marked")
+    work = cut(distinct.join(marked, "v").select("v", "c", "n", "nd", "bytes"), "work", "zstd")
     few = work.where(F.col("nd") <= group).select("v", "c", (F.col("n") == 1).alias("once"), F.lit(-1).alias("part"), "bytes")
     # A mark with very many contexts: by core, and where that is crowded too, in parts of about `group`.
     finer = cut(work.where(F.col("nd") > group).select("v", "c", "n", "bytes").mapInArrow(_finer, "v long, c long, n long, v2 long, c2 long, at long, bytes binary"), "finer", "zstd")
@@ -357,7 +359,7 @@ def repeated_spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
     of_cores = inside.unionAll(whole(cores, "v2", "c2")).withColumnsRenamed({"v": "v2", "c": "c2"})
     lifted = finer.where("n = 1").select("v", "c", "v2", "c2", "at").join(of_cores, ["v2", "c2"]).select("v", "c", F.col("at") + F.col("a"), F.col("at") + F.col("z"))
     hits = cut(whole(distinct, "v", "c").unionAll(inside).unionAll(lifted), "hits")
-    discard(work, finer, cores, searched, distinct)
+    discard(work, finer, cores, searched, distinct, marked)
     spans = found.select("v", "c", "__id", "__h", "lo").join(hits, ["v", "c"])
     return spans.groupBy("__id", "__h").agg(F.collect_set(F.struct((F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("z") + LENGTH).alias("hi"))).alias("runs"))
 
