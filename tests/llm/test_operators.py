@@ -265,7 +265,8 @@ def test_op3_cuts_resist_shifts():
     assert chunking.cuts(np.zeros(0, np.uint8)) == [] and max(np.diff([0, *chunking.cuts(np.zeros(5000, np.uint8))])) <= chunking.MOST
 
 
-def test_op4(docs, empty):
+@pytest.mark.parametrize("hot", [1_000_000, 20])
+def test_op4(docs, empty, hot):
     rows = corpus()
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
     gone, seen, first = {i: set() for i in range(len(rows))}, [], {}
@@ -285,7 +286,7 @@ def test_op4(docs, empty):
     for i, (d, t, _) in enumerate(rows):
         x = (t or "").split("\n")
         out.append((d, len(x), len(gone[i]), hashlib.sha256("\n".join(y for k, y in enumerate(x) if k not in gone[i]).encode()).hexdigest()))
-    same(lines.remove_lines(docs), out)
+    same(lines.remove_lines(docs, hot), out)
     assert lines.remove_lines(empty).count() == 0
 
 
