@@ -76,3 +76,20 @@ def test_empty(spark, folder):
 
 def test_registry():
     assert sorted(int(q[2:].split("_")[0]) for q in registry.QUERIES) == list(range(1, 11)) and set(registry.ORACLES) <= set(registry.QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+@pytest.mark.parametrize("planted", [False, True])
+def test_sql(spark, folder, name, planted):
+    """The SQL of a query, on a test table and on the planted corpus with its nulls."""
+    import duckdb
+
+    d = folder if planted else "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet{'/*.parquet' if planted else ''}'")
+    cur = con.execute(registry.ORACLES[name])
+    names = [c[0] for c in cur.description]
+    df = registry.QUERIES[name](spark, d)
+    assert sorted(names) == sorted(df.columns)
+    assert Counter(map(str, (tuple(r[c] for c in names) for r in df.collect()))) == Counter(map(str, cur.fetchall()))

@@ -218,11 +218,11 @@ g AS (SELECT source, source_size, coalesce(least(cap, fin * w), cap) AS target F
 c AS (SELECT b.rid, b.doc_id, b.source, b.size, g.source_size, g.target,
              coalesce(sum(size) OVER (PARTITION BY b.source ORDER BY b.bucket, b.s, b.doc_id, b.size, b.rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
       FROM b JOIN g ON b.source IS NOT DISTINCT FROM g.source),
-e AS (SELECT rid, source, target, size, start + p * source_size AS at, greatest(0, least(size, CAST(floor(target) AS BIGINT) - start - p * source_size)) AS cut
+e AS (SELECT rid, source, target, size, start + p * source_size AS place, greatest(0, least(size, CAST(floor(target) AS BIGINT) - start - p * source_size)) AS inside
       FROM c CROSS JOIN (SELECT unnest([0, 1]) AS p) WHERE size > 0 AND target > 0),
-q AS (SELECT rid, source, cut AS words, at, CAST(at + cut AS DOUBLE) / target AS finish FROM e WHERE cut > 0
-      UNION ALL SELECT rid, source, size - cut, at + cut, CAST(at + size AS DOUBLE) / target FROM e WHERE cut < size),
-r AS (SELECT rid, words, sum(words) OVER (ORDER BY finish, source NULLS LAST, at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM q),
+q AS (SELECT rid, source, inside AS words, place, CAST(place + inside AS DOUBLE) / target AS finish FROM e WHERE inside > 0
+      UNION ALL SELECT rid, source, size - inside, place + inside, CAST(place + size AS DOUBLE) / target FROM e WHERE inside < size),
+r AS (SELECT rid, words, sum(words) OVER (ORDER BY finish, source NULLS LAST, place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM q),
 k AS (SELECT rid, sum(greatest(0, least(words, (SELECT floor(1.5 * sum(size)) FROM d) - run + words))) AS taken FROM r GROUP BY rid)
 SELECT doc_id, source, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken,
        CASE WHEN target > 0 THEN CAST(start + size AS DOUBLE) / target END AS virtual_finish
