@@ -507,6 +507,35 @@ def test_components(spark):
     assert {out[i] for i in range(2, 41)} == {1} and {out[i] for i in (101, 102, 200)} == {100} and 5 in out
 
 
+@pytest.mark.parametrize("most", [components.EDGES, 10])
+def test_components_of_random_edges(spark, most):
+    """Settled by one task and by rounds of stars alike; every node but the roots, once."""
+    r = random.Random(5)
+    edges = [(r.randrange(-900, 900), r.randrange(-900, 900)) for _ in range(900)] + [(2**62 + i, -(2**62) - i) for i in range(50)]
+    group = {x: x for e in edges for x in e}
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for u, v in edges:
+        group[max(find(u), find(v))] = min(find(u), find(v))
+    out = components.connected_components(spark.createDataFrame(edges, "u long, v long").repartition(7), most)
+    assert sorted((x["node"], x["root"]) for x in out.collect()) == sorted((x, find(x)) for x in group if x != find(x))
+
+
+def test_op7_executions_of_the_driver(spark):
+    """A chain costs the driver no more executions, with their plans and threads, than a pair: it is settled by one task."""
+    counts = []
+    for n in (2, 2000):
+        edges = spark.range(n).selectExpr("id AS u", "id + 1 AS v")
+        before = spark._jsparkSession.sharedState().statusStore().executionsCount()
+        assert {x["root"] for x in components.connected_components(edges).collect()} == {0}
+        counts.append(spark._jsparkSession.sharedState().statusStore().executionsCount() - before)
+    assert counts[0] == counts[1] <= 5
+
+
 def test_op8():
     page = """<html><head><title>T</title><style>p{}</style></head><body><div id="main-menu"><a href=x>Home</a></div><div class=cookie-notice>We use cookies, sorry.</div>
 <div class="content"><h1>A title</h1><p>First &amp; long, with text; it is about things,
