@@ -81,6 +81,21 @@ def test_op1_merge():
         assert [g.tolist() for g in got] == [[count[t[i : i + 200]] > 1 for i in range(max(0, len(t) - 199))] for t in texts]
 
 
+def test_op1_merges_what_may_repeat(monkeypatch):
+    """Contexts that share a mark and no window aren't merged; every repeat is found as by the merge of all."""
+    r = random.Random(3)
+    text = lambda n: "".join(r.choices("abcdefgh ", k=n)).encode()
+    mark, passage, merged = text(60), text(230), []
+    texts = [text(150) + mark + text(150) for _ in range(300)] + [text(90) + passage + text(70), passage[9:], b"", b"z" * 100]
+    shard = suffix.Shard
+    monkeypatch.setattr(suffix, "Shard", lambda t: merged.append(len(t)) or shard(t))
+    got = suffix.repeated_windows(texts)
+    assert 400 < sum(merged) < 500
+    assert [g.tolist() for g in got] == [g.tolist() for g in suffix._merged_windows(texts, 24_000)]
+    assert [int(g.sum()) for g in got[300:]] == [22, 22, 0, 0] and not any(g.any() for g in got[:300])
+    assert [len(g) for g in suffix.repeated_windows([b"", b"a"])] == [0, 0]
+
+
 def test_op1_long_text():
     """Slices of a long text find the same contexts' windows, each once."""
     data = np.frombuffer("".join(random.Random(1).choices("abcdef ", k=5_000_000)).encode(), np.uint8)

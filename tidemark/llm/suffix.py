@@ -12,8 +12,9 @@ place as well, in any document, this one included.
    are counted exactly again afterwards.
 2. Contexts that occur twice or more as they are (digests of 64 + 64 bits) are repeated
    as a whole; copies, however many, take part once in what follows.
-3. Contexts that share a mark with different ones are searched: their bytes are cut
-   into shards, each shard's suffixes are sorted and its Burrows-Wheeler transform
+3. Contexts that share a mark with different ones are searched.  Windows whose rolling
+   hash no other window of the task's block has can't be repeated there, and most
+   contexts share no more than their mark.  The bytes of the others are cut into shards, each shard's suffixes are sorted and its Burrows-Wheeler transform
    (symbols of eight bytes) taken, and the shards are merged by refining their
    interleave: a stable sort of the symbols in interleave order carries an order by t
    bytes over to t + 8, and block boundaries that appear in a round are common prefixes
@@ -223,8 +224,39 @@ def merge(shards: list[Shard], rounds: int = LENGTH // _STEP) -> tuple[np.ndarra
     return interleave, block
 
 
+def _may_repeat(strings: list[bytes]) -> list[np.ndarray]:
+    """For each string, which of its 200-byte windows have the hash of another; equal windows always have."""
+    ends = np.cumsum([len(s) for s in strings])
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    if len(data) < LENGTH:
+        return [np.zeros(0, bool)] * len(strings)
+    hashes = _rolling(data, LENGTH)
+    windows = [slice(e - len(s), max(e - len(s), e - LENGTH + 1)) for e, s in zip(ends.tolist(), strings, strict=True)]
+    inside = np.zeros(len(hashes), bool)
+    for w in windows:
+        inside[w] = True
+    at = np.flatnonzero(inside)
+    order = at[np.argsort(hashes[at])]
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    found = np.zeros(len(hashes), bool)
+    found[order[1:][same]] = found[order[:-1][same]] = True
+    return [found[w] for w in windows]
+
+
 def repeated_windows(strings: list[bytes], shard_bytes: int = 24_000) -> list[np.ndarray]:
-    """For each string, which of its 200-byte windows start elsewhere among the strings too."""
+    """For each string, which of its 200-byte windows start elsewhere among the strings too.
+
+    Only stretches of windows whose hashes aren't the only ones of their value are merged.
+    """
+    out = _may_repeat(strings)
+    where = [(i, a, z + 1) for i, f in enumerate(out) for a, z in _runs(f).tolist()]
+    for (i, a, z), f in zip(where, _merged_windows([strings[i][a : z - 1 + LENGTH] for i, a, z in where], shard_bytes) if where else [], strict=True):
+        out[i][a:z] = f
+    return out
+
+
+def _merged_windows(strings: list[bytes], shard_bytes: int) -> list[np.ndarray]:
+    """``repeated_windows`` by the merge of shards alone."""
     groups: list[list[int]] = [[]]
     size = 0
     for i, s in enumerate(strings):
