@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -305,6 +306,62 @@ def test_op4(docs, empty, hot):
     assert lines.remove_lines(empty).count() == 0
 
 
+def test_op4_sets_in_packets():
+    """Copies are collapsed where they are read, then in one part; repeated rows are one place; ids of any type order them, null last."""
+    rows = [("b", 7, "x y\nX  y\nz"), (None, 1, "y x"), ("a", 9, "q\ny x x\n\nw" + "\ny x" * 400), ("a", 9, "q\ny x x\n\nw" + "\ny x" * 400), ("a", 3, "w")]
+
+    class Frequent:
+        value = np.zeros(0, np.uint64)
+
+    def read(part):
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.string()), pa.array([r[1] for r in part]), pa.array([r[2].encode() for r in part], pa.binary())], ["doc_id", "__h", "__t"])
+
+    moved = [p for part in (rows[:2], rows[2:]) for b in lines._set_packets(Frequent, 3)(iter([read(part)])) for p in b.to_pylist()]
+    assert sum(pa.ipc.open_stream(p["rows"]).read_all().num_rows for p in moved if p["rows"]) == 2 + 3
+    moved = pa.RecordBatch.from_pylist(sorted(moved, key=lambda p: p["part"]), pa.schema([("part", pa.int32()), ("rows", pa.binary()), ("gone", pa.binary())]))
+    out = [r for b in lines._grouped(iter([moved])) for r in b.to_pylist()]
+    assert {(r["doc_id"], r["__h"], r["line"]): r["n"] for r in out if r["n"]} == {("a", 9, 1): 2, ("a", 9, 0): 1, ("a", 3, 0): 1, ("b", 7, 2): 1}
+    assert {(r["doc_id"], r["__h"], r["line"]) for r in out if not r["n"]} == {("b", 7, 0), ("b", 7, 1), (None, 1, 0), ("a", 9, 3), *(("a", 9, i) for i in range(4, 404))}
+
+
+def test_op4_nested_ids():
+    ids = [{"a": 2, "b": [1]}, None, {"a": 2, "b": None}, {"a": 2, "b": [1]}, {"a": 3, "b": []}]
+    rows = pa.table({"k1": [1] * 5, "k2": [1] * 5, "doc_id": pa.array(ids), "__h": [4] * 5, "line": [0, 0, 1, 0, 0]})
+    first, gone = lines._earliest(rows)
+    assert first["doc_id"].to_pylist() == [ids[2]] and gone["doc_id"].to_pylist() == [ids[0], ids[0], ids[4], None]
+
+
+def test_op4_pairs(monkeypatch):
+    """Candidates of one part against all pairs of its sets, however few pairs are compared at a time."""
+    r = random.Random(4)
+    sets = [set(r.sample(range(1 << 20), r.randint(4, 60))) for _ in range(40)]
+    sets += [(x - set(r.sample(sorted(x), len(x) // r.choice([6, 12])))) | {r.randrange(1 << 20) for _ in range(len(x) // 12)} for x in sets for _ in range(3)]
+    words = [np.array(sorted(x), np.uint64) * np.uint64(0x9E3779B1) for x in sets]  # under 2^53; their order is that of the numbers
+    data = []
+    for x in words:
+        bit = (x * lines._M2) >> np.uint64(56)
+        p = [np.bitwise_xor.reduce(np.where(bit >> np.uint64(6) == w, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0))).reshape(1) for w in range(4)]
+        data.append([v[0] for v in lines.folded(p, np.array([len(x)]))])
+    prefixes = [x[: len(x) - (4 * len(x) + 4) // 5 + 1].astype(np.uint32).view(np.int32) for x in words]
+    done = {i for i in range(len(sets)) if i % 7 == 3}
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(sets))), pa.array([len(x) for x in sets], pa.int32()), pa.array([x.tolist() for x in prefixes], pa.list_(pa.int32())), *[pa.array(np.array([d[w] for d in data], np.uint64).view(np.int64)) for w in range(4)], pa.array(range(len(sets))), pa.array([5] * len(sets))],
+        ["k", "n", "prefix", "s0", "s1", "s2", "s3", "o", "k2"],
+    )
+
+    class Done:  # of another second half: not that set
+        value = lines._settled(pa.table({"k1": [*sorted(done, reverse=True), 0], "k2": [5] * len(done) + [6]}))
+
+    like = {(i, j) for j in range(len(sets)) for i in range(j) if j not in done and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert len(like) > 20
+    found = []
+    for most in (1 << 18, 3):
+        monkeypatch.setattr(lines, "PAIRS", most)
+        packets = [p for b in lines._dealt(1, np.zeros(0, np.int32), Done)(iter([batch])) for p in zip(b["n"].to_pylist(), b["rows"].to_pylist(), strict=True)]
+        found.append({tuple(sorted(x)) for x in zip(*(a.tolist() for a in lines._pairs_of(packets)), strict=True)})
+    assert found[0] == found[1] >= like and all(max(x) not in done for x in found[0])
+
+
 def test_op5(docs, empty):
     out = sharding.assign_slots(docs, buckets=4).collect()
     rows = corpus()
