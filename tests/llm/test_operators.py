@@ -608,6 +608,41 @@ def test_op7_executions_of_the_driver(spark):
     assert counts[0] == counts[1] <= 5
 
 
+def _plans(spark, run):
+    """The last plan of each execution of ``run``."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    spark.range(1).count()
+    bus.waitUntilEmpty()
+    before = max(x.executionId() for x in (store.executionsList().apply(i) for i in range(store.executionsList().size())))
+    run()
+    bus.waitUntilEmpty()
+    found = store.executionsList()
+    return [x.physicalPlanDescription() for x in (found.apply(i) for i in range(found.size())) if x.executionId() > before]
+
+
+@pytest.mark.parametrize("of", [simhash.keep_one])
+def test_op7_broadcasts_nothing(spark, of):
+    """Exploded fingerprints look small to Spark: at 0.6 GB their broadcast was more than the driver's memory."""
+    texts = [f"{w} common words that many texts share {w}" for w in range(40)]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts * 2)], "doc_id long, text string")
+    plans = _plans(spark, lambda: of(docs).write.format("noop").mode("overwrite").save())
+    assert len(plans) >= 8 and any("SortMergeJoin" in x for x in plans) and not any("Broadcast" in x for x in plans)
+
+
+def test_components_broadcast_nothing(spark):
+    edges = spark.range(50).selectExpr("id AS u", "id + 1 AS v")
+    plans = _plans(spark, lambda: components.connected_components(edges, 10).count())
+    assert any("SortMergeJoin" in x for x in plans) and not any("Broadcast" in x for x in plans)
+
+
+def test_op6_copies_are_not_broadcast(spark):
+    """Rows of the mix are exploded from one for each different document: however few those are, their copies can be many."""
+    docs = spark.createDataFrame([(1, "a b c", "x"), (2, "d e", "y")] + [(3, "f g", "x")] * 500, "doc_id long, text string, source string")
+    mixed = mixing.mix_documents(docs)
+    assert re.search(r"\w+Join", mixed._jdf.queryExecution().executedPlan().toString()).group() == "SortMergeJoin"
+    assert mixed.where("doc_id = 3").count() > 500
+
+
 def test_op8():
     page = """<html><head><title>T</title><style>p{}</style></head><body><div id="main-menu"><a href=x>Home</a></div><div class=cookie-notice>We use cookies, sorry.</div>
 <div class="content"><h1>A title</h1><p>First &amp; long, with text; it is about things,

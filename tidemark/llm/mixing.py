@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, col, copies, cut, discard, fresh, read, text_of
+from .common import WORD_RE, col, copies, cut, discard, fresh, read, shuffled, text_of
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -193,7 +193,7 @@ def mix_documents(docs: DataFrame, buckets: int = 1024, weights: tuple[int, ...]
         hashed = F.xxhash64(*[col(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
         repeated = single.join(many, there, "left_semi").groupBy(s, "source").agg(F.min_by(F.struct(*map(col, names)), hashed).alias(row)).select(*[F.col(row)[n].alias(n) for n in names], s)
         single = single.join(many, there, "left_anti").unionAll(repeated)
-    joined = single.join(mix, (single[s] == mix[s]) & F.col("source").eqNullSafe(F.col(of))).drop(mix[s])
+    joined = shuffled(single).join(mix, (single[s] == mix[s]) & F.col("source").eqNullSafe(F.col(of))).drop(mix[s])
     return joined.orderBy(finish, last, "source", at).select(*map(col, names))
 
 

@@ -26,6 +26,9 @@ The plan (m, j) is the one of least rows for the number of fingerprints: more se
 have more tables, but chance matches fall with the bits of a key, so that rows stay
 near linear.  All plans are exact, and nothing is capped.
 
+No join is a broadcast: all tables grow with the documents, and Spark puts the size of
+an exploded one at that of what it is made of, a tenth or less.
+
 Edge cases: null and empty texts, and texts of white space, have no words: their
 fingerprint is zero and links like any other; fewer than four words are one
 shingle; a group whose ids are all null has a null component_id; repeated rows are
@@ -43,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, cut, discard, fresh, read, text_of
+from .common import col, cut, discard, fresh, read, shuffled, text_of
 from .components import connected_components
 
 WORDS = 4
@@ -134,25 +137,25 @@ def link_fingerprints(fps: DataFrame, most: int = MOST, segments: tuple[int, int
     """(fp, root) for every fingerprint of ``fps`` (distinct ``fp``, written)."""
     keyed = _keyed(fps.select("fp"), masks(4, 2))
     hubs = keyed.groupBy("s", "k").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least != most")
-    near = keyed.join(cut(hubs, "hubs"), ["s", "k"]).select("fp", F.explode(F.array("least", "most")).alias("hub")).where((F.col("fp") != F.col("hub")) & (_distance("fp", "hub") <= most))
+    near = shuffled(keyed).join(cut(hubs, "hubs"), ["s", "k"]).select("fp", F.explode(F.array("least", "most")).alias("hub")).where((F.col("fp") != F.col("hub")) & (_distance("fp", "hub") <= most))
     first = connected_components(near.select(F.col("fp").alias("u"), F.col("hub").alias("v")))
-    table = cut(fps.join(first, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root")), "fps")
+    table = cut(shuffled(fps).join(first, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root")), "fps")
 
     of = masks(*(segments or plan(table.count(), most)))
     index = _keyed(table, of)
     groups = index.groupBy("s", "k", "root").agg(F.count(F.lit(1)).alias("c"), F.min("fp").alias("fp"))
     buckets = cut(groups.groupBy("s", "k").agg(F.max_by(F.struct("root", "c", "fp"), "c").alias("top"), (F.count(F.lit(1)) > 1).alias("mixed")).select("s", "k", "top.*", "mixed"), "buckets")
     mixed = buckets.where("mixed").select("s", "k", F.col("root").alias("top"))
-    others = index.join(mixed, ["s", "k"]).where(F.col("root") != F.col("top")).select("s", "k", "root", "fp")
+    others = shuffled(index).join(mixed, ["s", "k"]).where(F.col("root") != F.col("top")).select("s", "k", "root", "fp")
     entries = buckets.select("s", "k", "root", F.when(F.col("c") == 1, F.col("fp")).alias("fp")).unionAll(others)
-    reached = entries.join(_probes(table, of), ["s", "k"]).where((F.col("root") != F.col("root2")) & (F.col("fp").isNull() | (_distance("fp", "fp2") <= most)))
+    reached = shuffled(entries).join(_probes(table, of), ["s", "k"]).where((F.col("root") != F.col("root2")) & (F.col("fp").isNull() | (_distance("fp", "fp2") <= most)))
     reached = cut(reached.select("s", "k", "root", "fp", "root2", "fp2"), "reached")
     direct = reached.where("fp IS NOT NULL")
     members = index.select("s", "k", "root", F.col("fp").alias("member"))
-    inside = reached.where("fp IS NULL").drop("fp").join(members, ["s", "k", "root"]).where(_distance("member", "fp2") <= most)
+    inside = shuffled(reached.where("fp IS NULL").drop("fp")).join(members, ["s", "k", "root"]).where(_distance("member", "fp2") <= most)
     far = direct.select("root", "root2").unionAll(inside.select("root", "root2"))
     second = connected_components(far.select(F.col("root").alias("u"), F.col("root2").alias("v"))).withColumnRenamed("root", "final")
-    out = table.join(second, F.col("root") == F.col("node"), "left").select("fp", F.coalesce("final", "root").alias("root"))
+    out = shuffled(table).join(second, F.col("root") == F.col("node"), "left").select("fp", F.coalesce("final", "root").alias("root"))
     discard(buckets, reached)
     return out
 
@@ -180,10 +183,10 @@ def keep_one(docs: DataFrame, most: int = MOST) -> DataFrame:
     distinct = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("__h"))).alias("best"))
     distinct = cut(distinct, "distinct")
     roots = link_fingerprints(distinct.select("fp"), most)
-    best = distinct.join(roots, "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias(i), F.col("best.__h").alias(h))
+    best = shuffled(distinct).join(roots, "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias(i), F.col("best.__h").alias(h))
     copies = rows.groupBy(F.col("doc_id").alias("id2"), F.col("__h").alias("h2")).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    best = best.join(copies, F.col(i).eqNullSafe(F.col("id2")) & (F.col(h) == F.col("h2")), "left").select(i, h, (F.coalesce("c", F.lit(1)) > 1).alias(many))
-    kept = docs.join(best, F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(h)))
+    best = shuffled(best).join(copies, F.col(i).eqNullSafe(F.col("id2")) & (F.col(h) == F.col("h2")), "left").select(i, h, (F.coalesce("c", F.lit(1)) > 1).alias(many))
+    kept = shuffled(docs).join(best, F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(h)))
     kept = cut(kept.select(*map(col, names), i, h, many), "kept")
     once = kept.where(F.col(many)).dropDuplicates([i, h])
     return kept.where(~F.col(many)).select(*map(col, names)).unionAll(once.select(*map(col, names)))
