@@ -620,7 +620,7 @@ def _plans(spark, run):
     return [x.physicalPlanDescription() for x in (found.apply(i) for i in range(found.size())) if x.executionId() > before]
 
 
-@pytest.mark.parametrize("of", [simhash.keep_one])
+@pytest.mark.parametrize("of", [simhash.near_duplicates, simhash.keep_one])
 def test_op7_broadcasts_nothing(spark, of):
     """Exploded fingerprints look small to Spark: at 0.6 GB their broadcast was more than the driver's memory."""
     texts = [f"{w} common words that many texts share {w}" for w in range(40)]

@@ -164,11 +164,11 @@ def near_duplicates(docs: DataFrame, most: int = MOST, segments: tuple[int, int]
     """doc_id, fp, component_id: one row for each row of ``docs``."""
     rows = cut(fingerprints(docs), "fingerprints")
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    named = cut(distinct.join(link_fingerprints(distinct.select("fp"), most, segments), "fp"), "roots")
-    # Both tables are written: the join is a broadcast where the least ids are few, else of plain shuffles whose skew can be split.
+    named = cut(shuffled(distinct).join(link_fingerprints(distinct.select("fp"), most, segments), "fp"), "roots")
+    # Both tables are written: the join is of plain shuffles whose skew can be split.
     least = cut(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    names = cut(named.join(least, "root").select("fp", "component_id"), "names")
-    return rows.join(names, "fp")
+    names = cut(shuffled(named).join(least, "root").select("fp", "component_id"), "names")
+    return shuffled(rows).join(names, "fp")
 
 
 def keep_one(docs: DataFrame, most: int = MOST) -> DataFrame:
